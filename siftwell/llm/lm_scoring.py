@@ -1,8 +1,9 @@
 """Language-model scoring: an interpolated modified Kneser-Ney bigram model.
 
-Counting is two shuffles. Workers count the (context, word) pairs of a few million tokens at a time
-and send one packed block per shard of the pair's hash, so a frequent word is spread over all shards
-and a frequent pair is one entry of each block. A shard merges its blocks, writes its part of the
+A first pass finds the frequent words, of which there are a bounded number. Counting is two shuffles.
+Workers count the (context, word) pairs of a few million tokens at a time and send one packed block
+per shard. Pairs are dealt by their context, those of frequent contexts by the whole pair, so that
+no word fills a shard; a frequent pair is one entry of each block. A shard merges its blocks, writes its part of the
 model as sorted hash arrays and sends on what its pairs say about single words, again packed, to the
 shards of the words' hashes. The driver gets one row of totals per shard. Scoring workers memory-map
 the arrays from the shared folder; pages that are not needed are never read.
@@ -32,8 +33,10 @@ from .words import mix, pair
 BEGIN, END = np.uint64(words.word_hash("\x00begin")), np.uint64(words.word_hash("\x00end"))
 #: Token pairs that a worker counts before it sends them.
 FLUSH = 3_000_000
-#: Bytes of text for which one shard is made.
-SHARD_BYTES = 14 << 20
+#: Bytes of documents for which one shard is made.
+SHARD_BYTES = 24 << 20
+#: A word is frequent from this part of a shard's mean tokens on; so there are at most shards / HOT of them.
+HOT = 1 / 8
 FIELDS = ("total", "ones", "twos", "more", "raw", "cont")
 
 
@@ -60,7 +63,7 @@ def _merge(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], order[at], [np.add.reduceat(s[order], at) if len(at) else s[:0] for s in sums]
+    return keys[at], order[at], [np.add.reduceat(s[order], at, dtype=s.dtype) if len(at) else s[:0] for s in sums]
 
 
 def _pairs(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,9 +76,55 @@ def _pairs(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return before, after, begins
 
 
-def _blocks(contexts: list[np.ndarray], tokens: list[np.ndarray], shards: int) -> pa.RecordBatch:
+def _contains(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """Hashes of pairs; the first bits say the shard."""
+    both = pair(v, w)
+    bits = np.uint64(shards.bit_length() - 1)
+    deal = np.where(_contains(hot, v), both, mix(v + np.uint64(0x5851F42D4C957F2D)))
+    return ((deal >> (np.uint64(64) - bits)) << (np.uint64(64) - bits)) | (both * np.uint64(0xD1342543DE82EF95) >> bits)
+
+
+def _frequent(shards: int):
+    """Words with their counts where they may be frequent: half the share in this partition, or more."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.single_threaded()
+        keys, counts, total, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+        for rb in words.batches(rows, "text"):
+            for _, hashes, offsets in words.texts_words(rb.column(0), words.SPACED, 4 << 20):
+                uniq, c = np.unique(hashes, return_counts=True)
+                n += len(hashes)
+                # rare ones of a chunk are left out: a word this rare in every chunk isn't frequent
+                much = c > len(hashes) * HOT / shards / 4
+                keys, _, (counts,) = _merge(np.concatenate([keys, uniq[much]]), np.concatenate([counts, c[much]]))
+        much = counts >= n * HOT / shards / 2
+        yield pa.RecordBatch.from_arrays([pa.array(keys[much].view(np.int64)), pa.array(counts[much]), pa.array(np.zeros(much.sum(), np.int64))], ["word", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["word", "n", "tokens"])
+
+    return run
+
+
+def frequent(column: DataFrame, shards: int) -> np.ndarray:
+    """The frequent words' hashes, sorted, and the begin of a text."""
+    found = column.mapInArrow(_frequent(shards), "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    # at most 4 x shards / HOT words a partition, and one row of tokens
+    rows = found.where("tokens > 0").union(found.orderBy(F.desc("n")).limit(int(shards / HOT) + 1)).toArrow()
+    total = max(np.asarray(rows["tokens"]).tolist(), default=0)
+    hot = rows.filter(pa.array(np.asarray(rows["n"]) > total * HOT / shards))
+    return np.unique(np.concatenate([np.asarray(hot["word"], dtype=np.int64).view(np.uint64), [BEGIN]]).astype(np.uint64))
+
+
+def _blocks(contexts: list[np.ndarray], tokens: list[np.ndarray], hot: np.ndarray, shards: int) -> pa.RecordBatch:
     v, w = np.concatenate(contexts), np.concatenate(tokens)
-    keys, first, (counts,) = _merge(pair(v, w), np.ones(len(v), np.uint32))
+    contexts.clear()
+    tokens.clear()
+    keys, first, (counts,) = _merge(pair_keys(v, w, hot, shards), np.ones(len(v), np.uint32))
     v, w = v[first], w[first]
     bits = np.uint64(64 - (shards.bit_length() - 1))
     cuts = np.searchsorted(keys >> bits, np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else np.array([0, len(keys)])
@@ -85,12 +134,13 @@ def _blocks(contexts: list[np.ndarray], tokens: list[np.ndarray], shards: int) -
         if a < b:
             known, codes = np.unique(np.concatenate([v[a:b], w[a:b]]), return_inverse=True)
             codes = codes.astype(np.uint16 if len(known) < 65536 else np.uint32)
+            order = np.argsort(codes[: b - a], kind="stable")
             ids.append(k)
-            blobs.append(_pack([known, codes, counts[a:b]]))
+            blobs.append(_pack([known, np.diff(codes[: b - a][order], prepend=codes.dtype.type(0)), codes[b - a :][order], counts[a:b][order]]))
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "block"])
 
 
-def _count(shards: int):
+def _count(shards: int, hot: np.ndarray):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.single_threaded()
         contexts, tokens, held = [], [], 0
@@ -101,28 +151,27 @@ def _count(shards: int):
                 tokens.append(w)
                 held += len(v)
                 if held >= FLUSH:
-                    yield _blocks(contexts, tokens, shards)
-                    contexts, tokens, held = [], [], 0
+                    yield _blocks(contexts, tokens, hot, shards)
+                    held = 0
         if held:
-            yield _blocks(contexts, tokens, shards)
+            yield _blocks(contexts, tokens, hot, shards)
 
     return run
 
 
-def _pair_shard(folder: str, shards: int):
+def _pair_shard(folder: str, shards: int, hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         shared.single_threaded()
         vs, ws, cs = [], [], []
         for blob in table.column("block"):
-            known, codes, counts = _unpack(blob.as_py())
-            n = len(counts)
-            vs.append(known[codes[:n]])
-            ws.append(known[codes[n:]])
+            known, steps, codes, counts = _unpack(blob.as_py())
+            vs.append(known[np.cumsum(steps, dtype=np.int64)])
+            ws.append(known[codes])
             cs.append(counts)
-        v, w = np.concatenate(vs), np.concatenate(ws)
-        keys, first, (count,) = _merge(pair(v, w), np.concatenate(cs))
-        v, w = v[first], w[first]
+        v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs)
         del vs, ws, cs
+        keys, first, (count,) = _merge(pair_keys(v, w, hot, shards), c)
+        v, w = v[first], w[first]
         shard = table.column("shard")[0].as_py()
         once = count == 1
         shared.put_bytes(f"{folder}/pairs-{shard}", np.array([once.sum(), (~once).sum()], np.uint64).tobytes() + keys[once].tobytes() + keys[~once].tobytes() + count[~once].tobytes())
@@ -183,11 +232,12 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text") -> dict:
     column = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     shards = shared.power_of_two(shared.frame_bytes(docs, text) / SHARD_BYTES, 8, 1 << 16)
     folder = shared.shared_dir(spark, "ngrams")
-    blocks = column.mapInArrow(_count(shards), "shard int, block binary")
-    pairs = blocks.groupBy("shard").applyInArrow(_pair_shard(folder, shards), "shard int, block binary, n1 long, n2 long, n3 long, n4 long")
+    hot = frequent(column, shards)
+    blocks = column.mapInArrow(_count(shards, hot), "shard int, block binary")
+    pairs = blocks.groupBy("shard").applyInArrow(_pair_shard(folder, shards, hot), "shard int, block binary, n1 long, n2 long, n3 long, n4 long")
     totals = pairs.groupBy("shard").applyInArrow(_word_shard(folder), ", ".join(f"{k} long" for k in STATS))
     row = totals.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in STATS)).first()
-    model = {k: int(row[k]) for k in STATS} | {"folder": folder, "shards": shards}
+    model = {k: int(row[k]) for k in STATS} | {"folder": folder, "shards": shards, "hot": hot}
     return model | {"d2": discounts(*(model[f"n{i}"] for i in (1, 2, 3, 4))), "d1": discounts(*(model[f"m{i}"] for i in (1, 2, 3, 4)))}
 
 
@@ -271,7 +321,7 @@ class Model:
         else:
             uni = np.full(len(uniq), 1 / (m["types"] + 1))
         v, w = inverse[: len(before)], inverse[len(before) :]
-        keys = pair(before, after)
+        keys = pair_keys(before, after, m["hot"], m["shards"])
         order = np.argsort(keys)
         count = np.empty(len(keys))
         count[order] = self.pair_counts(keys[order])
