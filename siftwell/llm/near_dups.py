@@ -224,8 +224,8 @@ def _filter(spark: SparkSession, ids: DataFrame):
     return spark.sparkContext.broadcast(bits)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size of every row of docs."""
+def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node), node null without words; and nodes (node, rep, label, class_id), rep its least doc_id."""
     ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
     signed = shared.stored(spark, ids.mapInArrow(_sign, f"doc_id {kind}, wordless byte, node long, weight long, bands array<long>"), "signed")
@@ -264,8 +264,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     # a class's name and size
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     names = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = named.join(names, "label").select("node", "class_id", "label")
-    placed = signed.where("node is not null").select("doc_id", "node").join(classes, "node")
+    return signed, named.join(names, "label")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, class_size of every row of docs."""
+    signed, nodes = classes(spark, docs, similarity)
+    placed = signed.where("node is not null").select("doc_id", "node").join(nodes.select("node", "class_id", "label"), "node")
     sizes = placed.groupBy("label").agg(F.count("*").alias("class_size"))
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return placed.join(sizes, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
+
+
+def _nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared.single_threaded()
+    for rb in words.batches(rows, "text"):
+        out = [pa.array(_same_words(h, o).view(np.int64), mask=np.diff(o) == 0) for _, h, o in words.texts_words(rb.column(rb.schema.get_field_index("text")), words.ALNUM)]
+        yield pa.RecordBatch.from_arrays([*rb.columns, pa.concat_arrays(out)], [*rb.schema.names, "_node"])
+
+
+def clean(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class, that of its least doc_id, with all columns as they were."""
+    signed, nodes = classes(spark, docs, similarity)
+    if not signed.groupBy("doc_id").count().where("count > 1").take(1):
+        copies = signed.where("node is not null").join(nodes.select("node", "rep", "class_id"), "node").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"))
+        return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    # ids that repeat don't tell rows apart: go by the texts' words
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.mapInArrow(_nodes, f"{kinds}, _node long")
+    stays = nodes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("node"))).alias("s")).select(F.col("s.node").alias("_node"), F.col("s.rep").alias("_id"))
+    kept = rows.join(stays, "_node").where(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_node").agg(F.first(F.struct(*docs.columns)).alias("r"))
+    return kept.select("r.*").unionByName(rows.where("_node is null").select(*docs.columns))
