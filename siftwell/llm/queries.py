@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, kd_shards, lm_scoring, near_dups, packing, toxicity, url_filter, warc
+from . import chroma, decontaminate, html_text, kd_shards, lm_scoring, near_dups, packing, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.match_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
