@@ -9,10 +9,12 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 whose darts leave a coordinate empty throws again with a doubled bound.
 
 Signatures are banded. Texts with the same words are one node from the start, so copies cost nothing
-later. Every node is compared with the pivot it shares most bands with; then the buckets that still
-hold several classes are compared across classes (not within), so that no link found by banding is
-lost and no group is expanded into its pairs. Comparisons use the shingles themselves (as 32-bit
-hashes). Classes are connected components, found with large-star and small-star steps, each stored
+later. A bucket's pivot is the member that meets most others over all bands: among near copies, the
+text they were made from. Nodes are compared with their buckets' pivots, the one they share most bands
+with first. Buckets that still hold several classes are then compared across classes (not within), so
+that no link found by banding is lost and no group is expanded into its pairs; in large buckets this
+is done block by block on small sketches of the signatures, and only pairs that may be similar leave
+the block. Links are decided on the shingles themselves (as 32-bit hashes). Classes are connected components, found with large-star and small-star steps, each stored
 in the shared folder.
 
 Cases: null texts and texts without words are classes of their own; equal texts are one class, also
@@ -41,6 +43,10 @@ COORDINATES = BANDS * ROWS
 THROW = 128
 #: Bits of the filter that spares most texts a second reading; 2 MB, whatever the corpus.
 FILTER_BITS = 1 << 24
+#: Buckets up to this size are compared by a join, larger ones in blocks of so many members.
+SMALL, BLOCK = 16, 1024
+#: Standard deviations below the wanted similarity at which a sketch still counts.
+SLACK = 3.5
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 24)])))
 
 
@@ -118,6 +124,12 @@ def bands(signatures: np.ndarray, count: int = BANDS) -> np.ndarray:
     return mix(out + np.arange(count, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
+def sketch(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, two coordinates a byte."""
+    four = (mix(signatures) >> np.uint64(60)).astype(np.uint8)
+    return (four[:, ::2] << 4) | four[:, 1::2]
+
+
 def _same_words(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A hash of each text's words in order."""
     up, _ = words._power(int(np.diff(offsets).max(initial=0)) + 1)
@@ -137,15 +149,16 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, cuts = h[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 text, gram, weight = shingles(part, cuts)
                 some = np.diff(cuts) > 0
-                found = np.zeros((b - a, BANDS), np.uint64)
+                found, sketches = np.zeros((b - a, BANDS), np.uint64), np.zeros((b - a, COORDINATES // 2), np.uint8)
                 if some.any():
                     place = np.cumsum(some) - 1
-                    found[some] = bands(dart_minhash(place[text], gram, weight, int(some.sum())))
+                    signatures = dart_minhash(place[text], gram, weight, int(some.sum()))
+                    found[some], sketches[some] = bands(signatures), sketch(signatures)
                 rank = pa.array(np.where(some, 0, 1), pa.int8())
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(found[some].ravel().view(np.int64)))
                 node = pa.array(nodes[a:b].view(np.int64), mask=~some)
                 total = pa.array(np.bincount(text, weights=weight, minlength=b - a).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(first + a, b - a), rank, node, total, keys], ["doc_id", "wordless", "node", "weight", "bands"])
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(first + a, b - a), rank, node, total, keys, pa.array([x.tobytes() for x in sketches], pa.binary())], ["doc_id", "wordless", "node", "weight", "bands", "sketch"])
 
 
 def _arrays(bits):
@@ -190,6 +203,34 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
+def _across(similarity: float):
+    """Pairs of a block (or of two) in different classes whose sketches agree enough."""
+    chance = similarity + (1 - similarity) / 16
+    least = (chance - SLACK * np.sqrt(chance * (1 - chance) / COORDINATES)) * COORDINATES
+
+    def run(table: pa.Table) -> pa.Table:
+        shared.single_threaded()
+        get = lambda k: np.asarray(table[k])
+        node, weight, label, own = get("node"), get("weight"), get("label"), get("own")
+        two = table["low"][0].as_py() != table["high"][0].as_py()
+        packed = np.frombuffer(b"".join(x.as_py() for x in table["sketch"]), np.uint8).reshape(len(node), -1)
+        left, right = [], []
+        high, low = packed >> 4, packed & 15
+        for i in range(len(node) - 1):
+            rest = np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(weight[i + 1 :], weight[i]) >= similarity * np.maximum(weight[i + 1 :], weight[i]))) + i + 1
+            if two:
+                rest = rest[own[rest] != own[i]]
+            if len(rest):
+                same = (high[rest] == high[i]).sum(1) + (low[rest] == low[i]).sum(1)
+                good = rest[same >= least]
+                left.append(np.maximum(node[good], node[i]))
+                right.append(np.minimum(node[good], node[i]))
+        ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+        return pa.table([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
+
+    return run
+
+
 def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared.single_threaded()
     for rb in rows:
@@ -228,11 +269,14 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     """Rows (doc_id, node), node null without words; and nodes (node, rep, label, class_id), rep its least doc_id."""
     ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    signed = shared.stored(spark, ids.mapInArrow(_sign, f"doc_id {kind}, wordless byte, node long, weight long, bands array<long>"), "signed")
-    nodes = shared.stored(spark, signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "nodes")
+    signed = shared.stored(spark, ids.mapInArrow(_sign, f"doc_id {kind}, wordless byte, node long, weight long, bands array<long>, sketch binary"), "signed")
+    nodes = shared.stored(spark, signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     rows = nodes.select("node", "weight", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = shared.stored(spark, rows.join(buckets, "band").select("band", "node", "pivot", "weight"), "members")
+    buckets = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = shared.stored(spark, rows.join(buckets, "band").select("band", "node", "weight", "n"), "met")
+    degrees = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    pivots = met.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
+    members = shared.stored(spark, met.join(pivots, "band").select("band", "node", "pivot", "weight", "n"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     bits = _filter(spark, wanted.select("rep"))
     slotted = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"), "text")
@@ -243,24 +287,44 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
         return both.mapInArrow(_compare, "a long, b long, similarity double")
 
-    shares = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    first = shares.groupBy("node").agg(F.max(F.struct("n", -F.col("pivot"), "pivot"))["pivot"].alias("b")).select(F.col("node").alias("a"), "b")
+    stars = shared.stored(spark, members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n")), "stars")
+    first = stars.groupBy("node").agg(F.max(F.struct("n", -F.col("pivot"), "pivot"))["pivot"].alias("b")).select(F.col("node").alias("a"), "b")
     tried = shared.stored(spark, links(first), "links")
-    edges = tried.where(F.col("similarity") >= similarity).select("a", "b")
-    labels = shared.stored(spark, components(spark, edges), "labels")
-    # buckets that hold several classes: compare across classes
-    at = members.join(labels, "node", "left").select("band", "node", "weight", F.coalesce("label", "node").alias("label"))
+    labels = shared.stored(spark, components(spark, tried.where(F.col("similarity") >= similarity).select("a", "b")), "labels")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Compare pairs (a > b) that haven't been; the links and the labels with them."""
+        nonlocal tried
+        done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        more = shared.stored(spark, links(pairs.join(done, ["a", "b"], "left_anti")), "links")
+        tried = tried.unionByName(more)
+        found = more.where(F.col("similarity") >= similarity).select("a", "b")
+        if not found.take(1):
+            return labels
+        return shared.stored(spark, components(spark, found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
+
+    def label(of: str, into: str) -> DataFrame:
+        return labels.select(F.col("node").alias(of), F.col("label").alias(into))
+
+    # the other pivots, where they'd join classes
+    apart = stars.join(label("node", "la"), "node", "left").join(label("pivot", "lb"), "pivot", "left").where(F.coalesce("la", "node") != F.coalesce("lb", "pivot"))
+    labels = joined(apart.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+    # buckets that still hold several classes: compare across classes
+    at = members.join(labels, "node", "left").select("band", "node", "weight", "n", F.coalesce("label", "node").alias("label"))
     mixed = at.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
     at = shared.stored(spark, at.join(mixed, "band", "left_semi"), "mixed")
-    other = at.select("band", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
-    cross = at.select("band", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")).join(other, "band")
+    small = at.where(F.col("n") <= SMALL)
+    other = small.select("band", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
+    cross = small.select("band", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")).join(other, "band")
     # a weighted Jaccard similarity is at most the quotient of the weights
-    cross = cross.where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("wa", "wb") >= F.greatest("wa", "wb") * similarity)).select("a", "b").distinct()
-    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = shared.stored(spark, links(cross.join(done, ["a", "b"], "left_anti")).where(F.col("similarity") >= similarity).select("a", "b"), "links")
-    if more.take(1):
-        joined = more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = shared.stored(spark, components(spark, joined), "labels")
+    cross = cross.where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("wa", "wb") >= F.greatest("wa", "wb") * similarity)).select("a", "b")
+    large = at.where(F.col("n") > SMALL).join(nodes.select("node", "sketch"), "node")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = large.select("band", "node", "weight", "label", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+    blocks = dealt.groupBy("band", "low", "high").applyInArrow(_across(similarity), "a long, b long")
+    labels = joined(cross.unionByName(blocks).distinct())
     # a class's name and size
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     names = named.groupBy("label").agg(F.min("rep").alias("class_id"))
