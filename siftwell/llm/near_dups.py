@@ -149,11 +149,12 @@ def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, cuts = h[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 text, gram, weight = shingles(part, cuts)
                 some = np.diff(cuts) > 0
-                found, sketches = np.zeros((b - a, BANDS), np.uint64), np.zeros((b - a, COORDINATES // 2), np.uint8)
+                found, sketches = np.zeros((b - a, BANDS), np.uint64), np.zeros((b - a, COORDINATES // 2 + 4 * BANDS), np.uint8)
                 if some.any():
                     place = np.cumsum(some) - 1
                     signatures = dart_minhash(place[text], gram, weight, int(some.sum()))
-                    found[some], sketches[some] = bands(signatures), sketch(signatures)
+                    found[some] = bands(signatures)
+                    sketches[some] = np.hstack([sketch(signatures), found[some].astype(np.uint32).view(np.uint8)])
                 rank = pa.array(np.where(some, 0, 1), pa.int8())
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(found[some].ravel().view(np.int64)))
                 node = pa.array(nodes[a:b].view(np.int64), mask=~some)
@@ -204,7 +205,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _across(similarity: float):
-    """Pairs of a block (or of two) in different classes whose sketches agree enough."""
+    """Pairs of a block (or of two) in different classes whose sketches agree enough, in the first band they share."""
     chance = similarity + (1 - similarity) / 16
     least = (chance - SLACK * np.sqrt(chance * (1 - chance) / COORDINATES)) * COORDINATES
 
@@ -214,6 +215,9 @@ def _across(similarity: float):
         node, weight, label, own = get("node"), get("weight"), get("label"), get("own")
         two = table["low"][0].as_py() != table["high"][0].as_py()
         packed = np.frombuffer(b"".join(x.as_py() for x in table["sketch"]), np.uint8).reshape(len(node), -1)
+        marks = np.ascontiguousarray(packed[:, COORDINATES // 2 :]).view(np.uint32)
+        packed = packed[:, : COORDINATES // 2]
+        here = int(np.argmax(marks[0] == np.uint32(table["band"][0].as_py() & 0xFFFFFFFF)))
         left, right = [], []
         high, low = packed >> 4, packed & 15
         for i in range(len(node) - 1):
@@ -223,6 +227,7 @@ def _across(similarity: float):
             if len(rest):
                 same = (high[rest] == high[i]).sum(1) + (low[rest] == low[i]).sum(1)
                 good = rest[same >= least]
+                good = good[np.argmax(marks[good] == marks[i], axis=1) == here]
                 left.append(np.maximum(node[good], node[i]))
                 right.append(np.minimum(node[good], node[i]))
         ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
