@@ -13,6 +13,7 @@ from .operators import grep as content_search
 from .operators import live, search, symbols
 from .plans.query import parse
 
+HITS, FILES, PER_FILE, MOST_FILES = search.LIMIT, content_search.LIMIT, content_search.PER_FILE, content_search.FALLBACK_FILES
 LONGEST_REQUEST, DEEPEST = 1 << 20, 64
 
 
@@ -34,13 +35,13 @@ class Engine:
     def search(self, text: str, limit: int | None = None) -> search.Hits:
         return search.search(self.entries, text, self.root, self.clock(), limit, self.home)
 
-    def symbols(self, text: str, limit: int = search.LIMIT) -> DataFrame:
+    def symbols(self, text: str, limit: int = HITS) -> DataFrame:
         return symbols.find(self.defs, self.entries, text, self.root, self.clock(), limit, self.home)
 
-    def grep(self, pattern: str, mode: str = "literal", query: str = "", limit: int = content_search.LIMIT, per_file: int = content_search.PER_FILE) -> DataFrame:
+    def grep(self, pattern: str, mode: str = "literal", query: str = "", limit: int = FILES, per_file: int = PER_FILE) -> DataFrame:
         return content_search.grep(self.content, pattern, mode, query, self.clock(), self.root, self.home, limit, per_file)
 
-    def files(self, text: str, most: int = content_search.FALLBACK_FILES) -> DataFrame:
+    def files(self, text: str, most: int = MOST_FILES) -> DataFrame:
         """Paths that a query selects, in order of path."""
         return search.matches(self.entries.where("not is_dir"), parse(text, self.home), self.root, self.clock()).select("path").orderBy("path").limit(most)
 
@@ -92,11 +93,11 @@ def _answer(engine: Engine, request: dict) -> dict:
         pattern, mode = (str(request.get("pattern", "")), str(request.get("mode", "literal"))) if op == "grep" else (q.grep, q.grep_mode)
         if not pattern:
             raise ValueError("grep needs a pattern")
-        found = engine.grep(pattern, mode, text, content_search.LIMIT if limit is None else limit, int(request.get("per_file", content_search.PER_FILE)))
+        found = engine.grep(pattern, mode, text, FILES if limit is None else limit, int(request.get("per_file", PER_FILE)))
         files = [{"path": r["path"], "lines": [x.asDict() for x in r["lines"]]} for r in found.orderBy("ord").collect()]
         return {"complete": True, "files": files, **warning}
     if q.syms:
-        hits = engine.symbols(text, search.LIMIT if limit is None else limit)
+        hits = engine.symbols(text, HITS if limit is None else limit)
         total = symbols.matches(engine.defs, engine.entries, q, engine.root, engine.clock()).count()
         return {"total": total, "hits": [{k: r[k] for k in ("path", "line", "symbol", "kind")} for r in hits.orderBy("rank").collect()], **warning}
     hits = engine.search(text, limit)

@@ -91,6 +91,6 @@ def refresh(old: DataFrame, dirty: DataFrame, trees: DataFrame, listed: DataFram
 
     dirty, trees: (path) of folders; listed: rows of old's columns for all of these."""
     kept = old.join(dirty.select(F.col("path").alias("parent")), "parent", "left_anti")
-    chain = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
+    chain = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
     below = kept.select("path", F.explode(chain).alias("tree")).join(trees.select(F.col("path").alias("tree")), "tree", "left_semi").select("path")
     return kept.join(below, "path", "left_anti").select(*old.columns).unionByName(listed.select(*old.columns)).dropDuplicates(["path"])

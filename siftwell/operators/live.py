@@ -21,10 +21,10 @@ def sync_diff(held: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return both.select("path", action.alias("action"))
 
 
-def latest(changes: DataFrame) -> DataFrame:
-    """The last change of each path; applying a log twice changes nothing."""
-    last = F.max_by(F.struct(*changes.columns), F.struct("event_id", "op"))
-    return changes.groupBy("path").agg(last.alias("r")).select("r.*")
+def merge(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """The last change of each kind for a path; neither order nor repetition of the changes matters."""
+    rows = state.unionByName(changes.select(*state.columns))
+    return rows.groupBy("path", "op").agg(F.max_by(F.struct(*rows.columns), "event_id").alias("r")).select("r.*")
 
 
 def ancestors(path: Column) -> Column:
@@ -33,18 +33,18 @@ def ancestors(path: Column) -> Column:
     return F.when(n > 2, F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.array_join(F.slice(F.split(path, "/"), 1, i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def apply(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """state (path, event_id, ...) after changes (path, op, event_id, ...): upserts, deletes, and deleted trees.
-
-    A row stays if nothing newer concerns it: neither a change of its path nor the deletion of a folder above."""
-    columns = state.columns
-    now = latest(changes.where("op <> 'tree'"))
-    killed = changes.where("op in ('tree', 'delete')").groupBy(F.col("path").alias("tree")).agg(F.max("event_id").alias("killed_at"))
-    rows = state.select(*columns, F.lit("upsert").alias("op")).unionByName(now.select(*columns, "op"))
-    best = rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), F.struct("event_id", "op")).alias("r")).select("r.*").where("op = 'upsert'")
-    above = best.select("path", "event_id", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("tree"))
+def current(state: DataFrame) -> DataFrame:
+    """The rows that live: upserted, and neither deleted nor below a folder that was deleted since."""
+    killed = state.where("op in ('tree', 'delete')").groupBy(F.col("path").alias("tree")).agg(F.max("event_id").alias("killed_at"))
+    rows = state.where("op = 'upsert'")
+    above = rows.select("path", "event_id", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("tree"))
     dead = above.join(killed, "tree").where("killed_at > event_id").select("path").distinct()
-    return best.join(dead, "path", "left_anti").select(*columns)
+    return rows.join(dead, "path", "left_anti").drop("op")
+
+
+def apply(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """state (path, event_id, ...) after changes (path, op, event_id, ...): upserts, deletes, and deleted trees."""
+    return current(merge(state.withColumn("op", F.lit("upsert")), changes)).select(*state.columns)
 
 
 def dirty_folders(changes: DataFrame) -> DataFrame:

@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytesql import bytes_text, bytes_view, fold, fold_text, sub
+from ..functions.bytesql import bytes_text, bytes_view, fold, fold_text
 from ..plans.regex import Need, literal_need
 
 FOLLOW = 7
 
 
-def follow_bit(byte: Column) -> Column:
-    """The bucket of the byte after a trigram, as a bit; 0 at the end."""
-    return F.when(byte == "", 0).otherwise(F.expr("1").cast("int") * F.pow(F.lit(2), F.ascii(F.encode(byte, "ISO-8859-1")) % FOLLOW).cast("int"))
-
-
 def trigrams(content: DataFrame) -> DataFrame:
     """(doc_id, tri, follow) of all texts: distinct trigrams with the buckets of the bytes that follow."""
-    view = content.select("doc_id", fold(bytes_view(F.col("text"))).alias("b")).where("length(b) >= 3")
-    each = view.select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.length("b") - 2)).alias("i"))
-    code = F.conv(F.hex(F.encode(sub(F.col("b"), F.col("i") + 3, 1), "ISO-8859-1")), 16, 10).cast("int") % FOLLOW
-    bit = F.when(F.length("b") >= F.col("i") + 3, F.expr("shiftleft(1, 1)").cast("int") * 0 + F.pow(F.lit(2.0), code).cast("int")).otherwise(0)
-    return each.select("doc_id", sub(F.col("b"), F.col("i"), 3).alias("tri"), bit.alias("bit")).groupBy("doc_id", "tri").agg(F.bit_or("bit").alias("follow"))
+    view = content.select("doc_id", F.encode(fold(bytes_view(F.col("text"))), "ISO-8859-1").alias("b")).where("octet_length(b) >= 3")
+    each = view.select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.octet_length("b") - 2)).alias("i"))
+    # cutting bytes takes the same time anywhere in a long text
+    tri = F.decode(F.expr("substring(b, i, 3)"), "ISO-8859-1")
+    after = F.expr(f"IF(i + 3 <= octet_length(b), shiftleft(1, ascii(decode(substring(b, i + 3, 1), 'ISO-8859-1')) % {FOLLOW}), 0)")
+    return each.select("doc_id", tri.alias("tri"), after.alias("bit")).groupBy("doc_id", "tri").agg(F.bit_or("bit").alias("follow"))
 
 
 def save(postings: DataFrame, folder: str) -> None:

@@ -66,11 +66,19 @@ def entry_filter(q: Query, root: str, now: int) -> Column:
     return out
 
 
+def _test(t: Token):
+    return lambda n: scoring.token_matches(bytes_view(n), t.mode, t.text)
+
+
+def _scored(t: Token):
+    return lambda n: score_of(t, n).isNotNull()
+
+
 def rejected(q: Query, names: Column) -> Column:
     """A negated word matches one of these names."""
     out = F.lit(False)
     for t in q.negative:
-        out = out | F.exists(names, lambda n, t=t: scoring.token_matches(bytes_view(n), t.mode, t.text))
+        out = out | F.exists(names, _test(t))
     return out
 
 
@@ -93,5 +101,5 @@ def path_filter(q: Query, path: Column, home_category: bool = True) -> Column:
     if q.path_re:
         out = out & path.rlike(name_pattern(q.path_re))
     for t in q.positive:
-        out = out & F.exists(parts, lambda p, t=t: score_of(t, p).isNotNull())
+        out = out & F.exists(parts, _scored(t))
     return out & ~rejected(q, parts) if q.negative else out

@@ -123,17 +123,17 @@ class Planner:
         return Part(None, either([both([p.need, self.of(p)]) for p in parts]))
 
     def sequence(self) -> Part:
-        now = Part(("",))
+        """One part after another. A run of exact strings ends where anything may stand; its strings are then required."""
+        run, needs, whole = Part(("",)), [], True
         while self.i < len(self.p) and self.peek() not in "|)":
-            now = self.join(now, self.repeated())
-        return now
-
-    def join(self, a: Part, b: Part) -> Part:
-        need = both([a.need, b.need])
-        if a.exact is not None and b.exact is not None and len(a.exact) * len(b.exact) <= MOST_EXACT:
-            return Part(tuple(dict.fromkeys(x + y for x in a.exact for y in b.exact)), need)
-        # the strings so far are required, and the next part begins anew
-        return Part(b.exact if a.exact is None and b.exact is not None else None, both([need, self.of(a), *([] if a.exact is None and b.exact is not None else [self.of(b)])]))
+            part = self.repeated()
+            needs.append(part.need)
+            if part.exact is not None and len(run.exact) * len(part.exact) <= MOST_EXACT:
+                run = Part(tuple(dict.fromkeys(x + y for x in run.exact for y in part.exact)))
+            else:
+                needs.append(self.of(run))
+                whole, run = False, Part(("",) if part.exact is None else part.exact)
+        return Part(run.exact, both(needs)) if whole else Part(None, both([*needs, self.of(run)]))
 
     def repeated(self) -> Part:
         part = self.atom()

@@ -1,8 +1,9 @@
 """The live index: a stream of change events folded into a versioned table.
 
-Every micro-batch is merged into the state by path and the result is a new version; the version that
+Every micro-batch is merged into the state (the last change of each kind for a path, so that deletions
+hold against late events) and the result is a new version; the version that
 counts is named in a manifest which is replaced as a whole, so that readers see one or the other. A
-batch that is replayed gives the same version again.
+batch that is replayed changes nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ class Table:
         v = self.version()
         return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{v}")
 
+    def rows(self) -> DataFrame:
+        """The rows that live in the last version."""
+        return live.current(self.read())
+
     def publish(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
         self._fs().create(self._path(f"manifest/{version}"), True).close()
@@ -58,10 +63,9 @@ def merge_batch(table: Table, ignore: list[str]) -> Callable[[DataFrame, int], N
         wanted = batch.dropDuplicates(["event_id", "path", "op"])
         for prefix in ignore:
             wanted = wanted.where(~((F.col("path") == prefix) | F.col("path").startswith(f"{prefix}/")))
-        if table.version() >= batch_id + 1:
-            return  # replayed after it was published
-        table.publish(live.apply(table.read(), wanted), batch_id + 1)
-        table.forget(batch_id)
+        now = table.version() + 1
+        table.publish(live.merge(table.read(), wanted), now)
+        table.forget(now - 1)
 
     return run
 
