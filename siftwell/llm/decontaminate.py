@@ -31,6 +31,8 @@ K, SPAN, WINDOW = 5, 4, 8
 BLOCK_BYTES = 16 << 20
 #: Fixed by the contract of the query.
 CONTAMINATED = 2
+#: Columns of what is found in a document; no document's own columns are called so.
+FOUND = ("_dc_words", "_dc_spans", "_dc_items")
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -136,7 +138,7 @@ def covered(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search(index, keep: list[str], wide: bool):
+def _search(index, keep: list[str]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.single_threaded()
         for rb in words.batches(rows, "_text"):
@@ -150,7 +152,7 @@ def _search(index, keep: list[str], wide: bool):
                     items[first + t] = sorted(who)
             yield pa.RecordBatch.from_arrays(
                 [*(rb.column(rb.schema.get_field_index(k)) for k in keep), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                [*keep, "n_words", "spans", "items"],
+                [*keep, *FOUND],
             )
 
     return run
@@ -170,41 +172,43 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
 
 
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], limit: int = BLOCK_BYTES) -> DataFrame:
-    """The columns to keep, n_words, spans (hit word ranges, from 0, end exclusive) and items (sorted ids) of every row of docs."""
+    """The columns to keep and FOUND of every row of docs: its words, hit word ranges (from 0, end exclusive) and item ids (sorted)."""
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    schema = f"{kinds}, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
+    n_words, spans, items = FOUND
+    more = f"{n_words} long, {spans} array<struct<a: long, b: long>>, {items} array<string>"
     todo = list(map(build, blocks(benchmark, limit))) or [build([])]
     if len(todo) == 1:
-        return rows.mapInArrow(_search(spark.sparkContext.broadcast(todo[0]), keep, False), schema)
+        return rows.mapInArrow(_search(spark.sparkContext.broadcast(todo[0]), keep), f"{kinds}, {more}")
     held = shared.stored(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
     found = None
     for index in todo:
-        part = held.mapInArrow(_search(spark.sparkContext.broadcast(index), [*keep, "_row"], True), f"{kinds}, _row long, n_words long, spans array<struct<a: long, b: long>>, items array<string>")
+        part = held.mapInArrow(_search(spark.sparkContext.broadcast(index), [*keep, "_row"]), f"{kinds}, _row long, {more}")
         found = part if found is None else found.unionByName(part)
     merge = F.aggregate(
-        F.array_sort("spans"),
+        F.array_sort(spans),
         F.array().cast("array<struct<a: long, b: long>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    together = found.groupBy("_row").agg(*(F.first(k).alias(k) for k in keep), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return together.select(*keep, "n_words", merge.alias("spans"), "items")
+    together = found.groupBy("_row").agg(*(F.first(k).alias(k) for k in keep), F.first(n_words).alias(n_words), F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+    return together.select(*keep, n_words, merge.alias(spans), items)
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """What a document shares with the benchmark."""
     found = find(spark, docs, benchmark, ["doc_id"], limit)
-    n_items = F.size("items").cast("long")
+    n_words, spans, items = FOUND
+    n_items = F.size(items).cast("long")
     return found.select(
         "doc_id",
-        "n_words",
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"]), F.lit(0).cast("long")).alias("n_hit"),
+        F.col(n_words).alias("n_words"),
+        F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"]), F.lit(0).cast("long")).alias("n_hit"),
         n_items.alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (n_items >= CONTAMINATED).alias("contaminated"),
     )
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated rows, all columns as they were."""
-    return find(spark, docs, benchmark, docs.columns).where(F.size("items") < CONTAMINATED).select(*docs.columns)
+    return find(spark, docs, benchmark, docs.columns).where(F.size(FOUND[2]) < CONTAMINATED).select(*docs.columns)

@@ -40,7 +40,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 64, 8
 COORDINATES = BANDS * ROWS
 #: Documents whose darts are thrown at once.
-THROW = 128
+THROW = 48
 #: Bits of the filter that spares most texts a second reading; 2 MB, whatever the corpus.
 FILTER_BITS = 1 << 24
 #: Buckets up to this size are compared by a join, larger ones in blocks of so many members.

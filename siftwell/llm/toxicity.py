@@ -1,7 +1,9 @@
 """Toxicity: a classifier that is regularised with counterfactual sentences.
 
-It learns from at most SAMPLE labelled rows (a bound; the sample is the same at any run). In three
-steps: words that mark either class far beyond chance are selected from counts made in Spark; a
+It learns from at most SAMPLE labelled rows (a bound; the sample is the same at any run), equal texts
+once. In three steps: words that mark either class far beyond chance are selected from counts made in
+Spark. What counts is in how many different surroundings (the words next to it) a word stands in either
+class, so that the words of a text that was copied and labelled many times prove no more than once. A
 logistic regression gives each a weight; a second one puts together their sum and how many of the
 marking words a text has, so that one such word in a long text does not decide. Both are penalised
 for changing a score when identity terms are swapped: every sentence of the sample that has such a
@@ -29,11 +31,15 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 SAMPLE = 20_000
-SELECTED = 512
+CANDIDATES, SELECTED = 8192, 512
+#: Different surroundings in toxic texts that a word needs to be selected; and the weight from which it marks toxic texts.
+PROOFS, MARKING = 3, 0.25
 CUTOFF = 0.7
 #: How much a squared change of score in a swapped sentence costs, against one misjudged text.
 SWAP_WEIGHT = 5.0
 LEVELS = 4
+#: No document's own column is called so.
+SCORE = "_tx_score"
 #: Identity terms by group, in the languages of the corpus.
 IDENTITY = (
     "men women boys girls males females transgender nonbinary",
@@ -75,6 +81,26 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(n), pa.array(bad)], ["word", "n", "bad"])
 
 
+def _surroundings(table: np.ndarray):
+    """(word, hash of the words around it, toxic) wherever a word of the table stands."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.single_threaded()
+        for rb in words.batches(rows, "text"):
+            toxic = np.asarray(rb.column(1)).astype(np.int32)
+            for first, h, offsets in words.texts_words(rb.column(0), words.ALNUM):
+                before, after = np.zeros_like(h), np.zeros_like(h)
+                before[1:], after[:-1] = h[:-1], h[1:]
+                some = np.flatnonzero(np.diff(offsets))
+                before[offsets[some]] = 0
+                after[offsets[some + 1] - 1] = 0
+                at = np.flatnonzero(_in(table, h))
+                text = np.searchsorted(offsets, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(words.pair(before[at], after[at]).view(np.int64)), pa.array(toxic[first + text])], ["word", "around", "toxic"])
+
+    return run
+
+
 def _features(table: np.ndarray, swaps: list[np.ndarray]):
     """Which selected words a text of (text, toxic) has, and how a swap in one of its sentences changes that."""
 
@@ -149,7 +175,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.where(F.col("toxic").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of two numbers: small whatever the corpus
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = rows.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     held = shared.stored(spark, rows, "labelled")
     totals = held.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
     good, bad = int(totals.get(0, 0)), int(totals.get(1, 0))
@@ -161,11 +188,16 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     n, b = F.col("n"), F.col("bad")
     term = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
     gain = 2 * (term(b, n * rate) + term(n - b, n * (1 - rate)))  # log-likelihood ratio against chance
-    tested = counts.count()
-    least = 2 * math.log(max(tested, 1) / 0.05)
-    picked = counts.withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.desc("gain"), "word").limit(SELECTED).select("word").toArrow()
+    least = 2 * math.log(max(counts.count(), 1) / 0.05)
+
+    ids = lambda picked: np.unique(np.asarray(picked.toArrow()["word"], dtype=np.int64).view(np.uint64))
+    likely = counts.withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.desc("gain"), "word").limit(CANDIDATES)
+    around = held.mapInArrow(_surroundings(ids(likely.select("word"))), "word long, around long, toxic int")
+    around = around.groupBy("word", "around").agg((F.avg("toxic") > 0.5).cast("long").alias("bad"))
+    proven = around.groupBy("word").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).where(f"bad >= {PROOFS} AND 2 * bad >= n")
+    chosen = ids(proven.orderBy(F.desc("bad"), "word").limit(SELECTED).select("word"))
     swaps = groups()
-    table = np.unique(np.concatenate([np.asarray(picked["word"], dtype=np.int64).view(np.uint64), *swaps]))
+    table = np.unique(np.concatenate([chosen, *swaps]))
     seen = held.mapInArrow(_features(table, swaps), "toxic int, words array<int>, counts array<int>, gone array<int>, come array<int>").toArrow().to_pylist()
     y = np.array([r["toxic"] for r in seen], float)
     # only words that occur get a column
@@ -187,7 +219,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             changes.append(d)
     delta = np.unique(np.array(changes, np.float32), axis=0) if changes else np.zeros((0, len(used)), np.float32)
     w = fit(x, y, delta, 1.0)[:-1]
-    marking = w > 0.5
+    marking = w > MARKING
     levels = _levels(x @ w, (np.array([sum(c for k, c in zip(r["words"], r["counts"], strict=True) if k in set(used[marking].tolist())) for r in seen])))
     top = fit(levels, y, np.zeros((0, levels.shape[1])), 0.3)
     order = np.argsort(used)
@@ -220,15 +252,15 @@ def _score(model, text: str, keep: list[str]):
         for rb in words.batches(rows, text):
             get = lambda k, rb=rb: rb.column(rb.schema.get_field_index(k))
             out = [scores(model.value, h, offsets) for _, h, offsets in words.texts_words(get(text), words.ALNUM)]
-            yield pa.RecordBatch.from_arrays([*map(get, keep), pa.array(np.concatenate(out) if out else np.zeros(0))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*map(get, keep), pa.array(np.concatenate(out) if out else np.zeros(0))], [*keep, SCORE])
 
     return run
 
 
 def score(spark: SparkSession, rows: DataFrame, text: str, keep: list[str], model: dict) -> DataFrame:
-    """The columns to keep and a column ``score`` from 0 to 1."""
+    """The columns to keep and a column SCORE from 0 to 1."""
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), text, keep), f"{kinds}, score double")
+    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), text, keep), f"{kinds}, {SCORE} double")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,10 +268,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     model = train(spark, docs, labels.where(~in_fold(F.col("doc_id"))))
     rows = docs.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "text")
     scored = score(spark, rows, "text", ["doc_id", "held_out"], model)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
+    return scored.select("doc_id", "held_out", F.col(SCORE).alias("score"), (F.col(SCORE) >= CUTOFF).cast("int").alias("predicted"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those judged toxic, all columns as they were."""
     model = train(spark, docs, labels.where(~in_fold(F.col("doc_id"))))
-    return score(spark, docs, "text", docs.columns, model).where(F.col("score") < CUTOFF).select(*docs.columns)
+    return score(spark, docs, "text", docs.columns, model).where(F.col(SCORE) < CUTOFF).select(*docs.columns)
