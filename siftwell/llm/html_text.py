@@ -137,6 +137,9 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    cut = html.rfind("<")
+    if cut > html.rfind(">") and html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!") and cut > html.rfind(">"):
+        html = html[:cut]  # a tag that the page's end cuts off
     parser = Lines()
     parser.feed(html)
     parser.close()

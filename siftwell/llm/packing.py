@@ -3,10 +3,11 @@
 Documents are tokenized once; a longer one than a sequence is cut so that only its first piece may
 be shorter than a sequence. Full pieces are sequences of their own. All other pieces are dealt to
 partitions of about PART_ROWS, each packed by best-fit decreasing. Dual feasible functions bound
-from below how many bins a partition needs; where that many are used, the partition is certified and
-done. Partitions with a gap keep their full bins and put the documents of all others into a pool,
-which is dealt anew (to fewer partitions, by another hash) and packed again, until nothing is left
-over, one partition holds the pool, or ROUNDS have passed.
+from below how many bins a partition needs; where that many are used, the partition is certified, and
+only its emptiest bin may still take in more. Partitions with a gap release the emptier half of their
+bins. The released documents are dealt anew (to fewer partitions, by another hash) and packed again; the
+new bins count only if they are fewer, so that an exchange never does harm. It ends when one doesn't
+help, when one partition holds all, or after ROUNDS.
 
 Only lengths travel: a row of three numbers for a piece. Cases: a null or empty text is one token
 (id 0); equal documents and repeated rows are packed as often as they occur; an empty table gives no
@@ -93,6 +94,8 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
         whole = ((k + 1) * size) % capacity == 0
         scaled = np.where(whole, size * k, ((k + 1) * size // capacity) * capacity)
         best = max(best, -(-int((count * scaled).sum()) // (capacity * k)))
+    if capacity < 2:
+        return best
     # f_e: sizes above capacity - e fill a bin, those below e vanish
     rows, mass = np.cumsum(count), np.cumsum(count * size)
     e = np.arange(1, capacity // 2 + 1)
@@ -129,14 +132,15 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 PACKED = PIECES + ", part long, bin long, offset long, done boolean"
 
 
-def _pack(capacity: int, last: bool):
+def _pack(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         lengths = np.asarray(table["length"])
         bins, offsets, fills = best_fit(lengths, capacity)
         done = np.ones(len(fills), bool)
-        if not last and len(fills) > lower_bound(lengths, capacity):
-            done = fills == capacity
-        elif not last:
+        if len(fills) > lower_bound(lengths, capacity):
+            open_ = np.argsort(fills, kind="stable")[: -(-np.count_nonzero(fills < capacity) // 2)]
+            done[open_] = False
+        elif len(fills):
             # certified: as few bins as it can have. Its emptiest one may still be filled from elsewhere
             done[np.argmin(fills)] = False
         return table.append_column("bin", pa.array(bins)).append_column("offset", pa.array(offsets)).append_column("done", pa.array(done[bins])).select([x.split()[0] for x in PACKED.split(", ")])
@@ -149,20 +153,26 @@ def pack(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY, part_row
     full = cut.where(F.col("length") == capacity).select("*", F.xxhash64("doc_id", "piece").alias("_h"))
     base = 1 << 40
     out = full.select(*(x.split()[0] for x in PIECES.split(", ")), (F.lit(base << 22) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    pool = cut.where(F.col("length") < capacity)
+    columns = [*(x.split()[0] for x in PIECES.split(", ")), "sequence_id", "offset"]
+    pool, held, bins = cut.where(F.col("length") < capacity), None, None
     n = pool.count()
     for turn in range(rounds):
         if not n:
             break
-        parts = max(1, -(-n // part_rows)) if turn < rounds - 1 else max(1, -(-n // (8 * part_rows)))
-        last = parts == 1 or turn == rounds - 1
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)))
-        packed = shared.stored(spark, dealt.groupBy("part").applyInArrow(_pack(capacity, last), PACKED), "packed")
+        parts = max(1, -(-n // part_rows))
+        dealt = pool.select(*columns[:-2], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).alias("part"))
+        packed = shared.stored(spark, dealt.groupBy("part").applyInArrow(_pack(capacity), PACKED), "packed")
         number = F.lit(turn << 58) + F.shiftleft(F.col("part"), 26) + F.col("bin")
-        out = out.unionByName(packed.where("done").select(*(x.split()[0] for x in PIECES.split(", ")), number.alias("sequence_id"), "offset"))
-        pool = packed.where("not done").select(*(x.split()[0] for x in PIECES.split(", ")))
-        n = 0 if last else pool.count()
-    return out
+        placed = packed.select(*columns[:-2], number.alias("sequence_id"), "offset", "done")
+        used = placed.agg(F.count_distinct("sequence_id").alias("all"), F.count_distinct(F.when(~F.col("done"), F.col("sequence_id"))).alias("open"), F.count_if(~F.col("done")).alias("rows")).first()
+        if bins is not None and used["all"] >= bins:
+            break  # no better than before
+        out = out.unionByName(placed.where("done").select(*columns))
+        pool = held = placed.where("NOT done")
+        n, bins = used["rows"], used["open"]
+        if parts == 1:
+            break
+    return out if held is None else out.unionByName(held.select(*columns))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -7,7 +7,12 @@ number is the difference of the log-likelihoods divided by its length; it is rej
 threshold that is calibrated on accepted URLs kept out of the counts, so that at most FALSE_ALARMS
 of these are lost.
 
-The models learn from the URLs that rules decide, and from seed words for hosts nobody wants.
+The accepted model learns from the URLs that rules allow and, as most are fine, from those that no rule
+decides: a model that has seen too little finds all that is new unlikely. The rejected one learns from
+hosts made of seed words and from blocked URLs of hosts with such words; a host with such a word is no
+example of an accepted one. Other blocked URLs are a site's policy (a language, a folder), which says
+nothing about other sites; ``learn_blocked`` makes them examples too.
+
 Cases: a null URL or one without :// has an empty host and path, fits no rule, holds no evidence and
 is allowed; repeated rows are judged alike; with no rejected example all undecided URLs are allowed;
 other columns are ignored.
@@ -73,7 +78,7 @@ def _contexts(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     now = np.zeros(n, np.uint64)
     for k in range(1, ORDER):
         byte = np.zeros(n, np.uint64)
-        byte[k:] = data[: n - k].astype(np.uint64) + np.uint64(1)
+        byte[k:] = data[: max(0, n - k)].astype(np.uint64) + np.uint64(1)
         byte[np.arange(n) - k < begin] = 0  # before the URL
         now = now * np.uint64(0x100000001B3) + byte
         out[:, k] = mix(now + np.uint64(k))
@@ -194,12 +199,14 @@ def score(urls: DataFrame, tables: Broadcast) -> DataFrame:
     return df.mapInArrow(_ratio(tables), f"{kinds}, ratio double")
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_alarms: float = FALSE_ALARMS) -> DataFrame:
+def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_alarms: float = FALSE_ALARMS, learn_blocked: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict and the models' ratio."""
     h, p = host(F.col("url")), path(F.col("url"))
     name, verdict = rule_of(rules, h, p)
     judged = pages.select("page_id", F.concat(h, p).alias("url"), h.alias("host"), p.alias("path"), name.alias("rule"), verdict.alias("ruled"))
-    decided = judged.where(F.col("ruled").isNotNull()).select("url", (F.col("ruled") == "block").cast("int").alias("rejected"))
+    named = F.col("host").rlike(f"(^|[.-])({'|'.join(seeds)})([.-]|$)") if seeds else F.lit(False)
+    blocked = F.coalesce(F.col("ruled") == "block", F.lit(False))
+    decided = judged.where(F.when(blocked, named | F.lit(learn_blocked)).otherwise(~named & (F.col("url") != ""))).select("url", blocked.cast("int").alias("rejected"))
     kept_out = (F.col("rejected") == 0) & (F.pmod(F.xxhash64("url"), F.lit(10)) == 0)
     # seeds are shown often enough to weigh as much as the rules' own rejections do, at any size
     n = decided.where("rejected = 1").count()
