@@ -271,11 +271,16 @@ _add(
     SELECT path, CAST(bit_or(CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 2 END) AS INTEGER) AS words, CAST(max(coalesce(a,0)) AS INTEGER) AS best0, CAST(max(coalesce(b,0)) AS INTEGER) AS best1
     FROM sc WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY path""",
 )
-_add(
-    "j2_negated_subtrees",
-    lambda s, d: views.tree(s, d).join(views.tree(s, d).where("is_dir AND name = 'node_modules'").select(F.col("path").alias("dead")), F.col("path").startswith(F.concat(F.col("dead"), F.lit("/"))), "left_anti").select("path"),
-    f"{_WITH} SELECT path FROM ents WHERE NOT list_contains(folders,'node_modules')",
-)
+
+
+def _outside_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.tree(spark, sf_dir)
+    dead = df.where("is_dir AND name = 'node_modules'").select(F.col("path").alias("folder"))
+    below = df.select("path", F.explode(live.ancestors(F.col("path"))).alias("folder")).join(dead, "folder", "left_semi").select("path")
+    return df.join(below, "path", "left_anti").select("path")
+
+
+_add("j2_negated_subtrees", _outside_dead, f"{_WITH} SELECT path FROM ents WHERE NOT list_contains(folders,'node_modules')")
 _add("j3_scope_semi", _hits("in:/corpus/de kind:file"), f"{_WITH} SELECT path, CAST(prior+tweak AS INTEGER) AS score FROM ents WHERE path LIKE '/corpus/de/%' AND NOT is_dir AND NOT is_link")
 
 # --- overlay and incremental upkeep
@@ -487,3 +492,61 @@ _add("g8_verified", _planned("the and"), f"SELECT doc_id FROM documents WHERE co
 _add("u3_and_postings", lambda s, d: postings.candidate_docs(postings.trigrams(_ascii(s, d)), regex.both(["lic", "mit"])), f"WITH {_TRI} SELECT doc_id FROM post WHERE tri IN ('lic','mit') GROUP BY doc_id HAVING count(*)=2")
 _add("u2_or_postings", lambda s, d: postings.candidate_docs(postings.trigrams(_ascii(s, d)), regex.either(["lic", "mit"])), f"WITH {_TRI} SELECT DISTINCT doc_id FROM post WHERE tri IN ('lic','mit')")
 _add("j9_postings_intersect", lambda s, d: postings.candidate_docs(postings.trigrams(_ascii(s, d)), *postings.literal_plan("License")), f"WITH {_TRI} SELECT doc_id FROM post WHERE (tri='lic' AND follow & CAST(1 << (ascii('e')%7) AS INTEGER) <> 0) OR (tri='ice' AND follow & CAST(1 << (ascii('n')%7) AS INTEGER) <> 0) OR (tri='cen' AND follow & CAST(1 << (ascii('s')%7) AS INTEGER) <> 0) OR (tri='ens' AND follow & CAST(1 << (ascii('e')%7) AS INTEGER) <> 0) OR tri='nse' GROUP BY doc_id HAVING count(*)=5")
+
+# --- windows, summaries, comparisons
+
+
+def _preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    df = views.tree(spark, sf_dir).where("is_dir")
+    key = F.concat("order_key", entries.order_key(F.array("name")))
+    return df.select("path", F.row_number().over(W.orderBy(key)).alias("pre"))
+
+
+_add("w4_preorder", _preorder, f"{_WITH} SELECT path, CAST(row_number() OVER (ORDER BY list_transform(list_append(folders, name), lambda f: '0'||f)) AS INTEGER) AS pre FROM ents WHERE is_dir")
+
+
+def _path_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    first = views.content(spark, sf_dir).select("path").orderBy("path").limit(100)
+    return first.select("path", F.dense_rank().over(W.orderBy("path")).alias("place"))
+
+
+_add("w5_path_places", _path_places, f"WITH {_DOCS} SELECT path, CAST(dense_rank() OVER (ORDER BY path) AS INTEGER) AS place FROM docs QUALIFY place <= 100")
+_add("a11_percentiles", lambda s, d: views.content(s, d).agg(F.percentile("size", F.lit(0.5)).alias("p50"), F.percentile("size", F.lit(0.9)).alias("p90")), f"WITH {_DOCS} SELECT quantile_cont(size, 0.5) AS p50, quantile_cont(size, 0.9) AS p90 FROM docs")
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (views.content(spark, sf_dir).where(grep.Grep(p).matches(F.col("text"))).select("path") for p in ("tion", "idiot"))
+    sets = (("both", a.intersect(b)), ("first", a.exceptAll(b)), ("second", b.exceptAll(a)))
+    out = None
+    for name, df in sets:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_add("u6_coverage", _coverage, f"WITH {_DOCS}, m AS (SELECT contains(lower(text),'tion') AS a, contains(lower(text),'idiot') AS b FROM docs) SELECT 'both' AS side, count(*) FILTER (a AND b) AS n FROM m UNION ALL SELECT 'first', count(*) FILTER (a AND NOT b) FROM m UNION ALL SELECT 'second', count(*) FILTER (b AND NOT a) FROM m")
+
+
+def _content_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents after a sync: only what changed is taken anew."""
+    held, wanted = _versions(spark, sf_dir)
+    todo = live.sync_diff(held, wanted, ["size", "mtime"])
+    kept = held.join(todo.where("action = 'keep'").select("path"), "path", "left_semi").select("path", "size")
+    return kept.unionByName(wanted.join(todo.where("action in ('add', 'replace')").select("path"), "path", "left_semi").select("path", "size"))
+
+
+_add("g14_content_sync", _content_synced, f"WITH {_DOCS} SELECT path, CASE WHEN doc_id%10=0 THEN size+1 ELSE size END AS size FROM docs WHERE doc_id%9<>0")
+_add("g15_update_paths", lambda s, d: _sync(s, d).where(entries.under(F.col("path"), "/corpus/fr") & (F.col("action") != "keep")), f"WITH {_DOCS} SELECT path, CASE WHEN doc_id%7=0 THEN 'add' WHEN doc_id%9=0 THEN 'drop' ELSE 'replace' END AS action FROM docs WHERE path LIKE '/corpus/fr/%' AND NOT (doc_id%7=0 AND doc_id%9=0) AND (doc_id%7=0 OR doc_id%9=0 OR doc_id%10=0)")
+_add("l12_overlay_scores", lambda s, d: search.score(_overlay(s, d).where("is_extra"), parse("loop"), NOW).select("path", "score"), f"{_WITH}, s AS (SELECT path, CAST({_fuzzy('name', 'loop')} + prior + tweak AS INTEGER) AS score FROM ents WHERE NOT is_dir AND mtime%5=0) SELECT * FROM s WHERE score IS NOT NULL")
+_add("snk2_cli_lines", lambda s, d: _cli(s, d), f"WITH {_CODE} SELECT path || ':' || line || ': ' || kind || ' ' || name AS line FROM sy WHERE contains(lower(name),'brand')")
+
+
+def _cli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .engine import cli_lines
+
+    found = symbols.find(symbols.build(views.code(spark, sf_dir)), _code_entries(spark, sf_dir), "sym:brand", "/code", NOW, 1 << 30)
+    return cli_lines(found, "symbols")
