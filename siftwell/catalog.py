@@ -515,7 +515,7 @@ def _path_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("w5_path_places", _path_places, f"WITH {_DOCS} SELECT path, CAST(dense_rank() OVER (ORDER BY path) AS INTEGER) AS place FROM docs QUALIFY place <= 100")
-_add("a11_percentiles", lambda s, d: views.content(s, d).agg(F.percentile("size", F.lit(0.5)).alias("p50"), F.percentile("size", F.lit(0.9)).alias("p90")), f"WITH {_DOCS} SELECT quantile_cont(size, 0.5) AS p50, quantile_cont(size, 0.9) AS p90 FROM docs")
+_add("a11_percentiles", lambda s, d: views.content(s, d).agg(F.round(F.percentile("size", F.lit(0.5)), 3).alias("p50"), F.round(F.percentile("size", F.lit(0.9)), 3).alias("p90")), f"WITH {_DOCS} SELECT round(quantile_cont(size, 0.5), 3) AS p50, round(quantile_cont(size, 0.9), 3) AS p90 FROM docs")
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

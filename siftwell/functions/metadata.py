@@ -67,10 +67,8 @@ def extension(name: Column) -> Column:
 
 def _lookup(name: Column, table: dict[str, str], longest: int) -> Column:
     ext = extension(name)
-    out = None
-    for kind, words in table.items():
-        out = F.when(ext.isin(words.split()), kind) if out is None else out.when(ext.isin(words.split()), kind)
-    return F.when((last_dot(name) > 0) & (F.octet_length(ext) <= longest), out)
+    kinds = F.create_map(*(F.lit(x) for kind, words in table.items() for word in words.split() for x in (word, kind)))
+    return F.when((last_dot(name) > 0) & (F.octet_length(ext) <= longest), F.try_element_at(kinds, ext))
 
 
 def category(name: Column) -> Column:
