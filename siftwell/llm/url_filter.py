@@ -1,8 +1,9 @@
 """URL filter: rules first, then the ratio of two character language models.
 
 Two variable-order Markov models (accepted, rejected) count every byte after each of its last 0 to
-ORDER - 1 bytes in hashed tables of a fixed size, in one pass; the driver adds up tables, never
-URLs. Probabilities are smoothed by Witten and Bell's interpolation down to a uniform byte. A URL's
+ORDER - 1 bytes, exactly, in one pass: grams are numbers, counted in Spark and written as sorted arrays
+in shards of the shared folder, which scoring workers memory-map; the driver gets one number per shard.
+Probabilities are smoothed by Witten and Bell's interpolation down to a uniform byte. A URL's
 number is the difference of the log-likelihoods divided by its length; it is rejected above a
 threshold that is calibrated on accepted URLs kept out of the counts, so that at most FALSE_ALARMS
 of these are lost.
@@ -24,7 +25,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,10 @@ from . import shared, words
 from .words import mix
 
 ORDER = 5
-SLOTS = 1 << 17
+#: Digits of a gram: a byte plus 1, and 0 before the URL.
+BASE = 257
+#: Distinct grams that a worker holds before it sends them, and for which one shard is made.
+FLUSH, SHARD_GRAMS = 1 << 21, 1 << 20
 FALSE_ALARMS = 0.01
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules as (verdict, host, path).
@@ -69,134 +72,168 @@ def seed_urls(seeds: Sequence[str] = SEEDS) -> list[str]:
     return [f"{a}-{b}." for a in seeds for b in seeds if a != b]
 
 
-def _contexts(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte the hash of its contexts (a column for each order), the byte, and the URLs' offsets."""
+def _grams(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte its gram of each order (a column for each), and the URLs' offsets. A gram is a number of
+    digits below BASE (order, context, byte; a digit 0 is before the URL), so that no two grams are the same."""
     data, offsets = words.columns(urls)
     n = len(data)
     begin = np.repeat(offsets[:-1], np.diff(offsets))
-    out = np.zeros((n, ORDER), np.uint64)
-    now = np.zeros(n, np.uint64)
-    for k in range(1, ORDER):
-        byte = np.zeros(n, np.uint64)
-        byte[k:] = data[: max(0, n - k)].astype(np.uint64) + np.uint64(1)
-        byte[np.arange(n) - k < begin] = 0  # before the URL
-        now = now * np.uint64(0x100000001B3) + byte
-        out[:, k] = mix(now + np.uint64(k))
-    return out, data, offsets
-
-
-def _slots(contexts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(SLOTS - 1)
-    orders = np.arange(ORDER, dtype=np.uint64) * np.uint64(SLOTS)
-    grams = (mix(contexts + (data.astype(np.uint64)[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & mask) + orders
-    return grams.astype(np.int64), ((contexts & mask) + orders).astype(np.int64)
+    out = np.zeros((n, ORDER), np.int64)
+    digit = data.astype(np.int64) + 1
+    context = np.zeros(n, np.int64)
+    for k in range(ORDER):
+        if k:
+            byte = np.zeros(n, np.int64)
+            byte[k:] = digit[: max(0, n - k)]
+            byte[np.arange(n) - k < begin] = 0  # before the URL
+            context = context + byte * BASE ** (k - 1)
+        out[:, k] = (k * BASE**ORDER) + context * BASE + digit
+    return out, offsets
+
+
+def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their rows of counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
 
 
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of grams in this partition, as rows (class, slot, count)."""
+    """(gram, accepted, rejected): how often a gram occurs in either class, a row for a gram and FLUSH grams held."""
     shared.single_threaded()
-    sums = np.zeros((2, ORDER * SLOTS), np.int64)
+    keys, counts = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], ["gram", "accepted", "rejected"])
     for rb in words.batches(rows, "url", 1 << 20):
-        classes = np.asarray(rb.column(1))
-        contexts, data, offsets = _contexts(rb.column(0))
-        grams, _ = _slots(contexts, data)
-        rejected = np.repeat(classes, np.diff(offsets)).astype(bool)
+        grams, offsets = _grams(rb.column(0))
+        rejected = np.repeat(np.asarray(rb.column(1)), np.diff(offsets)).astype(bool)
         for k in (0, 1):
-            sums[k] += np.bincount(grams[rejected == bool(k)].ravel(), minlength=ORDER * SLOTS)
-    for k in (0, 1):
-        at = np.flatnonzero(sums[k])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(sums[k][at], pa.int64())], ["class", "slot", "count"])
+            uniq, n = np.unique(grams[rejected == bool(k)], return_counts=True)
+            both = np.zeros((len(uniq), 2), np.int64)
+            both[:, k] = n
+            keys, counts = _merge(np.concatenate([keys, uniq]), np.concatenate([counts, both]))
+        if len(keys) >= FLUSH:
+            yield out()
+            keys, counts = keys[:0], counts[:0]
+    yield out()
 
 
-class Markov:
-    """Hashed counts of one class. Context totals come from a second table with the same size."""
+def shards_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """By the contexts, each of which has at most 256 grams."""
+    return (mix(grams // BASE) & np.uint64(shards - 1)).astype(np.int32)
 
-    def __init__(self, grams: np.ndarray, totals: np.ndarray, kinds: np.ndarray):
-        self.grams, self.totals, self.kinds = grams, totals, kinds
 
-    def log(self, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        p = np.full(len(grams), 1 / 256)
-        for k in range(ORDER):
-            total, kinds = self.totals[contexts[:, k]], self.kinds[contexts[:, k]]
-            p = np.where(total > 0, (self.grams[grams[:, k]] + kinds * p) / np.maximum(total + kinds, 1), p)
-        return np.log(np.maximum(p, 1e-30))
+def _deal(shards: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.single_threaded()
+        for rb in rows:
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(shards_of(np.asarray(rb.column(0)), shards))], [*rb.schema.names, "shard"])
 
+    return run
 
-def _context_count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Context totals in this partition, as rows (class, slot, count) like the grams."""
-    shared.single_threaded()
-    sums = np.zeros((2, ORDER * SLOTS), np.int64)
-    for rb in words.batches(rows, "url", 1 << 20):
-        classes = np.asarray(rb.column(1))
-        contexts, data, offsets = _contexts(rb.column(0))
-        _, at = _slots(contexts, data)
-        rejected = np.repeat(classes, np.diff(offsets)).astype(bool)
-        for k in (0, 1):
-            sums[k] += np.bincount(at[rejected == bool(k)].ravel(), minlength=ORDER * SLOTS)
-    for k in (0, 1):
-        at = np.flatnonzero(sums[k])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(sums[k][at], pa.int64())], ["class", "slot", "count"])
 
+def _write(folder: str):
+    """A shard's grams and, as all grams of a context are in one shard, its contexts with totals and kinds."""
 
-def _kinds(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, gram's slot, context's slot) of the grams that occur, each once in a partition."""
-    shared.single_threaded()
-    seen: np.ndarray = np.zeros(0, np.int64)
-    for rb in words.batches(rows, "url", 1 << 20):
-        classes = np.asarray(rb.column(1))
-        contexts, data, offsets = _contexts(rb.column(0))
-        grams, at = _slots(contexts, data)
-        rejected = np.repeat(classes, np.diff(offsets)).astype(np.int64)[:, None]
-        wide = ORDER * SLOTS
-        seen = np.union1d(seen, ((rejected * wide + grams) * wide + at).ravel())
-    wide = ORDER * SLOTS
-    yield pa.RecordBatch.from_arrays([pa.array(seen // wide // wide, pa.int32()), pa.array(seen // wide % wide, pa.int32()), pa.array(seen % wide, pa.int32())], ["class", "gram", "slot"])
+    def run(table: pa.Table) -> pa.Table:
+        shared.single_threaded()
+        keys, counts = _merge(np.asarray(table.column("gram")), np.column_stack([np.asarray(table.column(c)) for c in ("accepted", "rejected")]))
+        contexts = keys // BASE
+        at = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+        totals, kinds = np.add.reduceat(counts, at, axis=0), np.add.reduceat((counts > 0).astype(np.int64), at, axis=0)
+        shard = table.column("shard")[0].as_py()
+        parts = [np.array([len(keys), len(at)]), keys, *counts.T, contexts[at], *totals.T, *kinds.T]
+        shared.put_bytes(f"{folder}/grams-{shard}", b"".join(np.ascontiguousarray(x, np.int64).tobytes() for x in parts))
+        return pa.table([pa.array([shard], pa.int32())], names=["shard"])
+
+    return run
 
 
 def train(spark: SparkSession, labelled: DataFrame) -> dict:
-    """labelled: (url string, rejected int). Tables of ORDER x SLOTS numbers for either class, however many URLs."""
+    """labelled: (url string, rejected int). Writes the exact counts of all grams; the model: their folder and shards."""
     rows = labelled.select(F.coalesce("url", F.lit("")).alias("url"), F.col("rejected").cast("int").alias("rejected"))
-    kind = "class int, slot int, count long"
-    size = ORDER * SLOTS
-    tables = {k: np.zeros((2, size), np.float32) for k in ("grams", "totals", "kinds")}
-    add = lambda df: df.groupBy("class", "slot").agg(F.sum("count").alias("count"))
-    for name, df in (
-        ("grams", add(rows.mapInArrow(_count, kind))),
-        ("totals", add(rows.mapInArrow(_context_count, kind))),
-        ("kinds", rows.mapInArrow(_kinds, "class int, gram int, slot int").distinct().groupBy("class", "slot").agg(F.count("*").alias("count"))),
-    ):
-        found = df.toArrow()  # at most 2 x ORDER x SLOTS rows
-        tables[name][np.asarray(found["class"]), np.asarray(found["slot"])] = np.asarray(found["count"])
-    return tables
-
-
-def ratios(tables: dict, urls: pa.Array) -> np.ndarray:
-    """Mean log-likelihood ratio a byte: positive where the rejected model fits better; 0 for empty URLs."""
-    contexts, data, offsets = _contexts(urls)
-    length = np.diff(offsets)
-    if not len(data):
-        return np.zeros(len(length))
-    grams, at = _slots(contexts, data)
-    logs = [Markov(*(tables[k][c] for k in ("grams", "totals", "kinds"))).log(grams, at) for c in (0, 1)]
-    sums = np.concatenate([[0.0], np.cumsum(logs[1] - logs[0])])
-    return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(length, 1)
-
-
-def _ratio(tables):
+    counted = rows.mapInArrow(_count, "gram long, accepted long, rejected long").groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    counted = shared.stored(spark, counted, "counted")
+    folder = shared.shared_dir(spark, "grams")
+    shards = shared.power_of_two(counted.count() / SHARD_GRAMS, 8, 1 << 16)
+    dealt = counted.mapInArrow(_deal(shards), "gram long, accepted long, rejected long, shard int")
+    written = dealt.groupBy("shard").applyInArrow(_write(folder), "shard int").collect()  # a number for each shard
+    return {"folder": folder, "shards": shards, "written": {r["shard"] for r in written}}
+
+
+class Markov:
+    """The counts of both classes, mapped shard by shard when first needed."""
+
+    def __init__(self, meta: dict):
+        self.meta, self.mapped = meta, {}
+
+    def _arrays(self, shard: int) -> list[np.ndarray]:
+        if shard not in self.mapped:
+            raw = np.frombuffer(shared.map_bytes(f"{self.meta['folder']}/grams-{shard}"), np.int64)
+            n, m = raw[:2].tolist()
+            self.mapped[shard] = np.split(raw[2:], np.cumsum([n, n, n, m, m, m, m]))
+        return self.mapped[shard]
+
+    def counts(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of distinct grams, and totals and kinds of their contexts; a row for either class."""
+        out = np.zeros((3, 2, len(grams)))
+        shard = shards_of(grams, self.meta["shards"])
+        for k in np.unique(shard).tolist():
+            if k in self.meta["written"]:
+                keys, *n, contexts, total0, total1, kinds0, kinds1 = self._arrays(k)
+                at = np.flatnonzero(shard == k)
+                for ordered, wanted, into in ((keys, grams[at], ((0, n),)), (contexts, grams[at] // BASE, ((1, (total0, total1)), (2, (kinds0, kinds1))))):
+                    place = np.searchsorted(ordered, wanted)
+                    place[place == len(ordered)] = 0
+                    hit = ordered[place] == wanted
+                    for i, values in into:
+                        for c in (0, 1):
+                            out[i, c, at[hit]] = values[c][place[hit]]
+        return out[0], out[1], out[2]
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """Log-probability of every byte, a row for either class."""
+        uniq, back = np.unique(grams, return_inverse=True)
+        back = back.reshape(grams.shape)
+        counts, totals, kinds = self.counts(uniq)
+        p = np.full((2, len(grams)), 1 / 256)
+        for k in range(ORDER):
+            at = back[:, k]
+            total, kind = totals[:, at], kinds[:, at]
+            p = np.where(total > 0, (counts[:, at] + kind * p) / np.maximum(total + kind, 1), p)
+        return np.log(p)
+
+    def ratios(self, urls: pa.Array) -> np.ndarray:
+        """Mean log-likelihood ratio a byte: positive where the rejected model fits better; 0 for empty URLs."""
+        grams, offsets = _grams(urls)
+        length = np.diff(offsets)
+        if not len(grams):
+            return np.zeros(len(length))
+        logs = self.logs(grams)
+        sums = np.concatenate([[0.0], np.cumsum(logs[1] - logs[0])])
+        return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(length, 1)
+
+
+def ratios(model: dict, urls: pa.Array) -> np.ndarray:
+    return Markov(model).ratios(urls)
+
+
+def _ratio(model: dict):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.single_threaded()
+        markov = Markov(model)
         for rb in words.batches(rows, "_url", 1 << 20):
             i = rb.schema.get_field_index("_url")
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(rb.columns) if k != i), pa.array(ratios(tables.value, rb.column(i)))], [*(n for n in rb.schema.names if n != "_url"), "ratio"])
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(rb.columns) if k != i), pa.array(markov.ratios(rb.column(i)))], [*(n for n in rb.schema.names if n != "_url"), "ratio"])
 
     return run
 
 
-def score(urls: DataFrame, tables: Broadcast) -> DataFrame:
-    """urls with a column ``ratio``; the models read a host and path. tables: a broadcast of what train() returns."""
+def score(urls: DataFrame, model: dict) -> DataFrame:
+    """urls with a column ``ratio``; the models read a host and path. model: what train() returns."""
     df = urls.withColumn("_url", F.coalesce("url", F.lit("")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
-    return df.mapInArrow(_ratio(tables), f"{kinds}, ratio double")
+    return df.mapInArrow(_ratio(model), f"{kinds}, ratio double")
 
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_alarms: float = FALSE_ALARMS, learn_blocked: bool = False) -> DataFrame:
@@ -216,8 +253,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str
     if own:
         sown = spark.createDataFrame([(u,) for u in own], "url string").select(F.explode(F.array_repeat("url", times)).alias("url"), F.lit(1).alias("rejected"))
         learnt = learnt.unionByName(sown)
-    tables = spark.sparkContext.broadcast(train(spark, learnt))
-    limit = score(decided.where(kept_out).select("url"), tables).agg(F.percentile_approx("ratio", 1 - false_alarms, 10000)).first()[0]
+    model = train(spark, learnt)
+    limit = score(decided.where(kept_out).select("url"), model).agg(F.percentile_approx("ratio", 1 - false_alarms, 10000)).first()[0]
     limit = max(0.0, limit if limit is not None else 0.0)
-    scored = score(judged, tables)
+    scored = score(judged, model)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("ratio") > limit, "block").otherwise("allow")).alias("verdict"), "ratio")
