@@ -6,9 +6,9 @@ Spark. What counts is in how many different surroundings (the words next to it)
 class, so that the words of a text that was copied and labelled many times prove no more than once. A
 logistic regression gives each a weight; a second one puts together their sum and how many of the
 marking words a text has, so that one such word in a long text does not decide. Both are penalised
-for changing a score when identity terms are swapped: every sentence of the sample that has such a
-term is rewritten with other terms of its group, and the squared differences of the scores enter the
-loss. A word that only stands for a group therefore neither gets a weight nor counts as marking.
+for changing a score when identity terms are swapped: every text of the sample that has such a term
+is rewritten with other terms of its group and without it, goes through both steps, and the squared
+differences of either step's score enter its loss. Identity terms never count as marking.
 
 Scoring reads every text whole and looks its words up in the sorted table of selected words.
 
@@ -115,12 +115,14 @@ def _features(table: np.ndarray, swaps: list[np.ndarray]):
                     uniq, n = np.unique(own[_in(table, own)], return_counts=True)
                     found.append(np.searchsorted(table, uniq).tolist())
                     counts.append(n.tolist())
-                    # a swap takes one selected term away or brings another in
+                    # a swap takes one term away (by itself too, else terms would become equal, not harmless) or brings another in
                     have = np.unique(own[_in(terms, own)])
                     out, back = [], []
                     for term in have:
                         for group in swaps:
                             if term in group:
+                                out.append(int(np.searchsorted(table, term)))
+                                back.append(-1)
                                 for other in group:
                                     if other != term:
                                         i, j = np.searchsorted(table, [term, other])
@@ -207,21 +209,25 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     column = {int(k): i for i, k in enumerate(used)}
     # at most SAMPLE rows and a column for each selected word and term
     x = np.zeros((len(seen), len(used)), np.float32)
-    changes = []
+    swapped = []
     for i, r in enumerate(seen):
         x[i, [column[k] for k in r["words"]]] = 1
-        for a, c in zip(r["gone"], r["come"], strict=True):
-            d = np.zeros(len(used), np.float32)
-            if a >= 0:
-                d[column[a]] -= 1
-            if c >= 0:
-                d[column[c]] += 1
-            changes.append(d)
-    delta = np.unique(np.array(changes, np.float32), axis=0) if changes else np.zeros((0, len(used)), np.float32)
+        swapped += [(i, column[a], column[c] if c >= 0 else -1) for a, c in zip(r["gone"], r["come"], strict=True)]
+    swapped = np.array(swapped, np.int64).reshape(-1, 3)
+    kinds = np.unique(swapped[:, 1:], axis=0)
+    delta = np.zeros((len(kinds), len(used)), np.float32)
+    delta[np.arange(len(kinds)), kinds[:, 0]] = -1
+    delta[np.flatnonzero(kinds[:, 1] >= 0), kinds[kinds[:, 1] >= 0, 1]] = 1
     w = fit(x, y, delta, 1.0)[:-1]
-    marking = w > MARKING
-    levels = _levels(x @ w, (np.array([sum(c for k, c in zip(r["words"], r["counts"], strict=True) if k in set(used[marking].tolist())) for r in seen])))
-    top = fit(levels, y, np.zeros((0, levels.shape[1])), 0.3)
+    # what a text says of a group is no mark, so that a swap leaves its hits as they are
+    marking = (w > MARKING) & ~_in(np.unique(np.concatenate(swaps)), table[used])
+    marks = set(used[marking].tolist())
+    hits = np.array([sum(c for k, c in zip(r["words"], r["counts"], strict=True) if k in marks) for r in seen])
+    linear = x @ w
+    levels = _levels(linear, hits)
+    i, gone, come = swapped.T
+    after = linear[i] - w[gone] + np.where((come >= 0) & (x[i, come] == 0), w[come], 0)
+    top = fit(levels, y, _levels(after, hits[i]) - levels[i], 0.3)
     order = np.argsort(used)
     return {"table": table[used[order]], "weights": w[order], "marking": marking[order], "top": top, "rate": rate}
 

@@ -94,3 +94,18 @@ def test_levels_look_words_up():
     model = {"table": table, "weights": np.ones(2), "marking": np.ones(2, bool), "top": np.array([0, 1.0, 0, 0, 0, -1.0]), "rate": 0.5}
     h = np.array([words.word_hash(w) for w in ("a", "x", "x")], np.uint64)
     assert np.allclose(toxicity.scores(model, h, np.array([0, 1, 3, 3])), 1 / (1 + np.exp([0, 1, 1])))
+
+
+def test_groups_do_not_stand_in_for_missing_insults(spark):
+    """A third of the toxic texts has no insult and 70 % name a group: naming it is still no offence, whatever else a text has."""
+    docs, labels = example(3000, group=True)
+    r = random.Random(3)
+    docs = [(i, " ".join(w for w in t.lower().rstrip(".").split() if w not in BAD) if i % 12 == 0 else t) for i, t in docs]
+    plain = [" ".join(r.choice([f"w{i}" for i in range(300)]) for _ in range(20)) for _ in range(40)]
+    ends = {"none": "", "group": " muslims", "twice": " muslims so muslims", "partner": " atheists so atheists", "two": " grub snark", "two and group": " grub muslims snark"}
+    extra = [(10_000 + 100 * k + i, t + end) for k, end in enumerate(ends.values()) for i, t in enumerate(plain)]
+    rows = {x["doc_id"]: x for x in run(spark, [*docs, *extra], labels)}
+    scores = {name: np.array([rows[10_000 + 100 * k + i]["score"] for i in range(len(plain))]) for k, name in enumerate(ends)}
+    for name in ("group", "twice", "partner"):
+        assert np.abs(scores[name] - scores["none"]).max() < 0.05 and scores[name].max() < 0.5
+    assert np.abs(scores["two and group"] - scores["two"]).max() < 0.05 and scores["two"].min() > 0.7
