@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import views
 from .functions import metadata, scoring
 from .functions.bytesql import bytes_view, fold
-from .operators import entries, grep, live, postings, search, symbols
+from .operators import entries, grep, live, numbering, postings, search, symbols
 from .plans import regex
 from .plans.query import parse
 
@@ -550,3 +550,32 @@ def _cli(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = symbols.find(symbols.build(views.code(spark, sf_dir)), _code_entries(spark, sf_dir), "sym:brand", "/code", NOW, 1 << 30)
     return cli_lines(found, "symbols")
+
+# --- whole orders and all lines, where o7_name_order, o5_candidate_order, w5_path_places and x13_trimmed_lines show the first
+
+
+def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.tree(spark, sf_dir).select("path", "is_dir", "name")
+    return numbering.numbered(spark, df, [F.desc("is_dir"), metadata.is_hex_name(F.col("name")), F.col("name"), F.col("path")], "rank").select("path", "rank")
+
+
+def _all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grep.candidates(views.content(spark, sf_dir), parse(""), NOW, ROOT).select("path", "rank", "mtime")
+    return numbering.numbered(spark, found, grep.candidate_order(), "ord").select("path", "rank", "ord")
+
+
+def _all_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal paths share a place."""
+    paths = views.content(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"))
+    placed = numbering.numbered(spark, paths, [F.col("path")], "place")
+    return placed.select("path", "place", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")).drop("_copy")
+
+
+def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.content(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).select("doc_id", (F.col("i") + 1).alias("n"), metadata.trim_line(F.col("l")).alias("line"))
+
+
+_add("o7_all_names", _all_names, f"{_WITH} SELECT path, row_number() OVER (ORDER BY is_dir DESC, name, path) AS rank FROM ents")
+_add("o5_all_candidates", _all_candidates, f"WITH {_DOCS}, r AS (SELECT path, mtime, CAST(CASE WHEN contains(path,'/.') THEN -2 ELSE 0 END - CASE WHEN regexp_matches(path,'\\.(jsonl|ndjson|log|lock|sum)$') THEN 1 ELSE 0 END AS INTEGER) AS rank FROM docs) SELECT path, rank, row_number() OVER (ORDER BY rank DESC, mtime DESC, path) AS ord FROM r")
+_add("w5_all_places", _all_places, f"WITH {_DOCS} SELECT path, dense_rank() OVER (ORDER BY path) AS place FROM docs")
+_add("x13_all_lines", _all_lines, "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), f AS (SELECT doc_id, n, rtrim(ls[n], ' '||chr(9)||chr(13)) AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM s)) SELECT doc_id, n, CASE WHEN strlen(l) <= 200 THEN l ELSE list_max(list_filter(list_transform(range(1,201), lambda i: substr(l,1,CAST(i AS BIGINT))), lambda s: strlen(s) <= 200)) END AS line FROM f")
