@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..llm import shared
+from .. import storage
 
 _ROW_BITS = 33
 
@@ -13,7 +13,7 @@ _ROW_BITS = 33
 def numbered(spark: SparkSession, df: DataFrame, order: list[Column], into: str) -> DataFrame:
     """All rows of df with their place from 1 on: sorted by range partitions, to whose own places the rows before are added."""
     # the ranges are sampled, so what they gave is kept
-    held = shared.stored(spark, df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    held = storage.stored(spark, df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", _ROW_BITS)
     before, sums = 0, []
     for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
