@@ -6,17 +6,20 @@ up among the benchmark's finds every shared window; hits are then extended, comp
 whole windows around them. Items shorter than a window are one window each; their lengths are
 looked up at every word.
 
-Benchmark items are a stated query set against all rows, in blocks of at most BLOCK_BYTES of text,
-each sent to the workers as sorted arrays (one block is usual). Documents aren't shuffled; for more
-than one block the hit spans of a document are put together.
+Workers index the benchmark and write it to the shared folder in sorted arrays of at most BLOCK_BYTES of
+text; the driver gets their names. Documents are read once and aren't shuffled: a batch is looked up in one
+mapped block after the other. Windows are compared by 64-bit hashes: of 10^12 document windows against 10^6
+of a benchmark, 0.05 would be hit by chance.
 
 Cases: null and empty texts have no words, hence no hits; items without words or without an id are
 left out; items that repeat an id are one item; repeated documents are reported as often as they
-occur; other columns are carried along only when asked for.
+occur; other columns, whatever their names, are carried along only when asked for.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,7 @@ K, SPAN, WINDOW = 5, 4, 8
 BLOCK_BYTES = 16 << 20
 #: Fixed by the contract of the query.
 CONTAMINATED = 2
-#: Columns of what is found in a document; no document's own columns are called so.
-FOUND = ("_dc_words", "_dc_spans", "_dc_items")
+SPANS = "array<struct<a: long, b: long>>"
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -59,15 +61,15 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     return np.unique(at)
 
 
-def build(items: list[tuple[str, str]]) -> dict:
-    """The index of one block: sorted fingerprints; by length, sorted window hashes and their items."""
+def build(ids: list[str], texts: pa.Array, least: int = 1) -> dict:
+    """The index of one block: sorted fingerprints; by length, sorted window hashes and their items. Items of
+    fewer than ``least`` words are left out."""
     finger, windows = [], {}
-    for _, h, offsets in words.texts_words(pa.array([t for _, t in items], pa.string()), words.ALNUM):
-        base = _
+    for base, h, offsets in words.texts_words(texts, words.ALNUM):
         for i in range(len(offsets) - 1):
             own = h[offsets[i] : offsets[i + 1]]
             n = min(len(own), WINDOW)
-            if n == 0:
+            if n == 0 or len(own) < least:
                 continue
             if n == WINDOW:
                 grams = gram_hashes(own, K)
@@ -79,7 +81,50 @@ def build(items: list[tuple[str, str]]) -> dict:
         keys, who = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         order = np.argsort(keys, kind="stable")
         out[n] = (keys[order], who[order])
-    return {"finger": np.unique(np.concatenate(finger)) if finger else np.zeros(0, np.uint64), "windows": out, "ids": [i for i, _ in items]}
+    return {"finger": np.unique(np.concatenate(finger)) if finger else np.zeros(0, np.uint64), "windows": out, "ids": ids}
+
+
+def _dump(index: dict) -> bytes:
+    """An index as bytes that can be mapped: a head with all lengths, then the arrays."""
+    arrays = [index["finger"], *(x for n in index["windows"] for x in index["windows"][n])]
+    head = json.dumps({"ids": index["ids"], "lengths": list(index["windows"]), "sizes": [len(a) for a in arrays]}).encode()
+    head += b" " * (-len(head) % 8)
+    return len(head).to_bytes(8, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def _map(uri: str) -> dict:
+    raw = shared.map_bytes(uri)
+    n = int.from_bytes(raw[:8], "little")
+    head = json.loads(bytes(raw[8 : 8 + n]))
+    body = np.frombuffer(raw, np.uint64, sum(head["sizes"]), 8 + n)
+    finger, *rest = np.split(body, np.cumsum(head["sizes"])[:-1])
+    return {"finger": finger, "windows": {k: (rest[2 * i], rest[2 * i + 1].view(np.int64)) for i, k in enumerate(head["lengths"])}, "ids": head["ids"]}
+
+
+def _index(folder: str, limit: int, least: int):
+    """Writes blocks of these rows (item_id, text); their URIs."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.single_threaded()
+        ids, texts, size = [], [], 0
+
+        def write() -> pa.RecordBatch:
+            uri = f"{folder}/block-{uuid.uuid4().hex}"
+            shared.put_bytes(uri, _dump(build(ids, pa.array(texts, pa.string()), least)))
+            return pa.RecordBatch.from_arrays([pa.array([uri])], ["uri"])
+
+        for rb in words.batches(rows, "text", limit):
+            for item, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                if ids and size + len(text) > limit:
+                    yield write()
+                    ids, texts, size = [], [], 0
+                ids.append(item)
+                texts.append(text)
+                size += len(text)
+        if ids:
+            yield write()
+
+    return run
 
 
 def _in(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -138,66 +183,45 @@ def covered(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search(index, keep: list[str]):
+def _search(uris: list[str], own: int):
+    """Columns (text, others ...) with words, hit spans and items; own: how many other columns there are."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.single_threaded()
-        for rb in words.batches(rows, "_text"):
-            n_words = np.zeros(rb.num_rows, np.int64)
-            spans: list[list[dict]] = [[] for _ in range(rb.num_rows)]
-            items: list[list[str]] = [[] for _ in range(rb.num_rows)]
-            for first, h, offsets in words.texts_words(rb.column(rb.schema.get_field_index("_text")), words.ALNUM):
-                n_words[first : first + len(offsets) - 1] = np.diff(offsets)
-                for t, found, who in hits(index.value, h, offsets):
-                    spans[first + t] = [{"a": a, "b": b} for a, b in covered(found)]
-                    items[first + t] = sorted(who)
-            yield pa.RecordBatch.from_arrays(
-                [*(rb.column(rb.schema.get_field_index(k)) for k in keep), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                [*keep, *FOUND],
-            )
+        mapped: list[dict] = []
+        for rb in rows:
+            mapped = mapped or list(map(_map, uris))
+            for small in words.batches([rb], rb.schema.names[0]):
+                n_words = np.zeros(small.num_rows, np.int64)
+                spans: list[list] = [[] for _ in range(small.num_rows)]
+                items: list[set[str]] = [set() for _ in range(small.num_rows)]
+                for first, h, offsets in words.texts_words(small.column(0), words.ALNUM):
+                    n_words[first : first + len(offsets) - 1] = np.diff(offsets)
+                    for index in mapped:
+                        for t, found, who in hits(index, h, offsets):
+                            spans[first + t].append(found)
+                            items[first + t] |= who
+                merged = [[{"a": a, "b": b} for a, b in covered(np.concatenate(s))] if s else [] for s in spans]
+                found = [pa.array(n_words), pa.array(merged, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*small.columns[1 : own + 1], *found], [f"c{i}" for i in range(own + 3)])
 
     return run
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded size, streamed through the driver."""
-    block, size = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if block and size + len(r[1]) > limit:
-            yield block
-            block, size = [], 0
-        block.append((r[0], r[1]))
-        size += len(r[1])
-    if block:
-        yield block
-
-
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], limit: int = BLOCK_BYTES) -> DataFrame:
-    """The columns to keep and FOUND of every row of docs: its words, hit word ranges (from 0, end exclusive) and item ids (sorted)."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    n_words, spans, items = FOUND
-    more = f"{n_words} long, {spans} array<struct<a: long, b: long>>, {items} array<string>"
-    todo = list(map(build, blocks(benchmark, limit))) or [build([])]
-    if len(todo) == 1:
-        return rows.mapInArrow(_search(spark.sparkContext.broadcast(todo[0]), keep), f"{kinds}, {more}")
-    held = shared.stored(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    found = None
-    for index in todo:
-        part = held.mapInArrow(_search(spark.sparkContext.broadcast(index), [*keep, "_row"]), f"{kinds}, _row long, {more}")
-        found = part if found is None else found.unionByName(part)
-    merge = F.aggregate(
-        F.array_sort(spans),
-        F.array().cast("array<struct<a: long, b: long>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    together = found.groupBy("_row").agg(*(F.first(k).alias(k) for k in keep), F.first(n_words).alias(n_words), F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
-    return together.select(*keep, n_words, merge.alias(spans), items)
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[str], limit: int = BLOCK_BYTES, least: int = 1) -> tuple[DataFrame, list[str]]:
+    """The columns to keep of every row of docs with its words, hit word ranges (from 0, end exclusive) and item ids (sorted); and these three's names."""
+    folder = shared.shared_dir(spark, "benchmark")
+    asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    uris = [r["uri"] for r in asked.mapInArrow(_index(folder, limit, least), "uri string").collect()]  # a name for each block
+    names = shared.fresh(keep, "n_words", "spans", "items")
+    kinds = shared.with_fields(docs, keep, *zip(names, ("long", SPANS, "array<string>"), strict=True))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *(shared.quoted(k).alias(f"c{i}") for i, k in enumerate(keep)))
+    return rows.mapInArrow(_search(uris, len(keep)), kinds), names
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """What a document shares with the benchmark."""
-    found = find(spark, docs, benchmark, ["doc_id"], limit)
-    n_words, spans, items = FOUND
+    found, (n_words, spans, items) = find(spark, docs, benchmark, ["doc_id"], limit)
     n_items = F.size(items).cast("long")
     return found.select(
         "doc_id",
@@ -209,6 +233,8 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, limit: in
     )
 
 
-def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated rows, all columns as they were."""
-    return find(spark, docs, benchmark, docs.columns).where(F.size(FOUND[2]) < CONTAMINATED).select(*docs.columns)
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, passages: int = 1) -> DataFrame:
+    """docs without the rows that share whole windows with ``passages`` items or more, all columns as they were. Items
+    shorter than a window condemn no document."""
+    found, (_, _, items) = find(spark, docs, benchmark, docs.columns, least=WINDOW)
+    return found.where(F.size(items) < passages).select(*map(shared.quoted, docs.columns))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import shutil
 import tempfile
@@ -10,40 +9,53 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..storage import open_fs, shared_dir, shared_root, stored  # noqa: F401
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none (tests), a new local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
-    return root
 
+#: Rows of a table that may be broadcast, a key and a few numbers each: some 5 MB.
+BROADCAST_ROWS = 50_000
+#: A key is hot from this part of all rows on, so that there are at most as many hot keys.
+HOT_PART = 256
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder (URI) below the shared root. A local or mounted one is removed when the driver ends."""
-    uri = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    system, path = open_fs(uri)
-    system.create_dir(path, recursive=True)
-    if isinstance(system, pafs.LocalFileSystem):
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return uri
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column is called so."""
+    have = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI, on the driver or a worker."""
-    if uri.startswith("s3a://"):
-        uri = "s3://" + uri[6:]
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+def with_fields(df: DataFrame, columns: list[str], *more: tuple[str, str]) -> T.StructType:
+    """The schema of columns of a frame and further ones as (name, type)."""
+    return T.StructType([*(df.schema[c] for c in columns), *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in more)])
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """left with the columns of right, a stored table with a row for a key and, as weight, how many rows of left have it.
+
+    A small table is broadcast. Of a larger one, the hot keys (fewer than HOT_PART, by their weights) are, so that no
+    shuffled key holds more than that part of the rows.
+    """
+    rows, total = right.agg(F.count("*"), F.sum(weight)).first()
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(weight)), key, how)
+    hot = F.col(weight) > total / HOT_PART
+    top = right.where(hot).drop(weight)
+    rest = left.join(F.broadcast(top.select(key)), key, "left_anti").join(right.where(~hot).drop(weight), key, how)
+    return left.join(F.broadcast(top), key).unionByName(rest)
 
 
 def put_bytes(uri: str, data: bytes) -> None:
@@ -66,13 +78,6 @@ def map_bytes(uri: str) -> memoryview:
         return memoryview(pa.memory_map(copy.name).read_buffer())
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors."""
-    uri = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(f"{uri}/t")
-    return spark.read.schema(df.schema).parquet(f"{uri}/t")
-
-
 def frame_bytes(df: DataFrame, column: str) -> int:
     """About how many bytes the frame holds: Catalyst's statistics, or a count where these know nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -81,9 +86,9 @@ def frame_bytes(df: DataFrame, column: str) -> int:
     return size
 
 
-def power_of_two(n: float, low: int, high: int) -> int:
+def power_of_two(n: float, low: int) -> int:
     k = low
-    while k < n and k < high:
+    while k < n:
         k *= 2
     return k
 

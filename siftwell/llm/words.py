@@ -111,9 +111,11 @@ def _slices(part: np.ndarray, word: np.ndarray, chunk: int) -> Iterator[np.ndarr
     """A very long text in slices that end between words."""
     at = 0
     while at < len(part):
-        end = at + chunk
-        while end < len(part) and word[FOLD[part[end]]]:
-            end += 1
+        end, inside = min(at + chunk, len(part)), True
+        while inside and end < len(part):  # on to the next byte that is in no word
+            ahead = np.flatnonzero(~word[FOLD[part[end : end + chunk]]])
+            inside = not len(ahead)
+            end += int(ahead[0]) if len(ahead) else min(chunk, len(part) - end)
         yield part[at:end]
         at = end
 
