@@ -1,14 +1,18 @@
 """Sharding by a k-d tree over metadata, with DataFrame operations only.
 
-Each row becomes a point (one 20-bit coordinate per metadata dimension) with the row's bytes as its
-weight. All nodes of a level are split at once: one aggregation gives each node's bytes and the
-spread of every dimension; then a few narrowing aggregations (at most 1,024 bins a node) find the
-weighted median along the widest one. Rows that tie in that dimension are ordered by a hash, so a
-hot source or thousands of equal texts are split like anything else and leaves get equal bytes.
-The text is read once; later passes read the small table of points, stored anew at each level.
-
-Cases: a null text weighs 1 (nothing plus 1); null metadata sorts first; equal rows get different
-slots; an empty table gives an empty result; other columns are ignored.
+Each row becomes a point, one number per metadata dimension (a string's is its rank among the distinct
+values), with the row's bytes as its weight. All nodes of a level are split at once. One aggregation gives
+each node's bytes and the spread of every dimension; the rows are then sorted by node and by the node's
+widest dimension, by range partitions, and a row's weight in that order, added up within its partition and
+to what the partitions before it hold, says on which side of its node's weighted median it lies. So a split
+is exact, however many nodes, values or equal rows there are: rows that tie go by a number of their own.
+Nothing but a row for each partition reaches the driver. Nodes' statistics are looked up in a table that is
+broadcast while small. The text is read once; later passes read the narrow table of points, stored anew at
+each level.
+
+Cases: a null text weighs 1 (nothing plus 1); null metadata sorts first, next to the least value; equal
+rows get different slots and are split like others; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,96 +26,85 @@ from pyspark.sql import types as T
 
 from . import shared
 
-BITS, TIE_BITS = 20, 40
-#: Part of a node's bytes within which a split is exact enough.
-TOLERANCE = 1e-4
-MOST_LEAVES = 4096
-#: Rows that one task numbers.
-SLOT_ROWS = 4096
+#: Rows that one task sorts or numbers.
+PART_ROWS = 1 << 16
+ROW_BITS = 33
 
 
-def code(df: DataFrame, name: str) -> Column:
-    """An integer that sorts as the column does: of strings, their first five bytes."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.hex(F.substring(F.col(name).cast("binary"), 1, 5))
-        return F.coalesce(F.conv(F.rpad(head, 10, "0"), 16, 10).cast("long"), F.lit(-1))
-    return F.coalesce(F.col(name).cast("long"), F.lit(-1))
+def _in_order(spark: SparkSession, df: DataFrame, order: list[Column], parts: int, name: str) -> DataFrame:
+    """df stored in an order, with the number of its range partition and its place there (``_part``, ``_place``)."""
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    held = shared.stored(spark, dealt, name)
+    return held.withColumn("_part", F.shiftright("_id", ROW_BITS)).withColumn("_place", F.col("_id").bitwiseAND((1 << ROW_BITS) - 1)).drop("_id")
 
 
-def _pick(values: list, node: Column, kind: str = "long") -> Column:
-    return F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), node + 1)
+def _before(spark: SparkSession, df: DataFrame, amount: Column, into: str) -> DataFrame:
+    """df of _in_order() with the sum of amount over all rows before."""
+    parts, total = [], 0
+    for r in df.groupBy("_part").agg(F.sum(amount).alias("n")).orderBy("_part").collect():  # a row for each partition
+        parts.append((r["_part"], total))
+        total += r["n"]
+    sums = F.broadcast(spark.createDataFrame(parts, f"_part long, {into} long"))
+    own = F.sum(amount).over(W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)) - amount
+    return df.join(sums, "_part").withColumn(into, F.col(into) + own)
+
+
+def ranked(spark: SparkSession, rows: DataFrame, name: str, into: str, parts: int) -> DataFrame:
+    """rows with the rank of a column's value among the distinct values, from 1 on (0 for null), by their order."""
+    value = F.col(name)
+    counts = rows.where(value.isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
+    places = _before(spark, _in_order(spark, counts, [value], parts, "values"), F.lit(1).cast("long"), into)
+    table = shared.stored(spark, places.select(name, (F.col(into) + 1).alias(into), "_n"), "ranks")
+    return shared.joined(rows, table, name, "_n", "left").withColumn(into, F.coalesce(into, F.lit(0).cast("long")))
 
 
 def kd_leaves(spark: SparkSession, rows: DataFrame, dims: list[str], weight: str, leaves: int) -> DataFrame:
-    """rows with a column ``shard`` from 0 to leaves - 1, and ``tie``, a hash of the row. Weights are positive."""
-    if not 1 <= leaves <= MOST_LEAVES:
-        raise ValueError(f"leaves must be from 1 to {MOST_LEAVES}")
-    codes = rows.select("*", *(code(rows, d).alias(f"_c{i}") for i, d in enumerate(dims)), (F.xxhash64(*rows.columns).bitwiseAND((1 << TIE_BITS) - 1)).alias("tie"))
-    held = shared.stored(spark, codes, "points")
-    ends = held.agg(*(f(f"_c{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    scaled = []
-    for i in range(len(dims)):
-        lo, hi = ends[f"lo{i}"] or 0, ends[f"hi{i}"] or 0
-        scaled.append(F.floor((F.col(f"_c{i}") - lo) / F.lit(float(max(hi - lo, 1))) * ((1 << BITS) - 1)).cast("long"))
-    points = held.select(*rows.columns, "tie", F.array(*scaled).alias("_p"))
-    nodes, shares, at = points.withColumn("_n", F.lit(0)), [leaves], 1
-    # every leaf's number is the sum of the leaves to its left
-    while max(shares) > 1:
-        stats = {r["_n"]: r for r in nodes.groupBy("_n").agg(F.sum(weight).alias("w"), *(F.stddev_pop(F.col("_p")[i]).alias(f"s{i}") for i in range(len(dims)))).collect()}
-        widest = [max(range(len(dims)), key=lambda i: (stats[n][f"s{i}"] or 0, -i)) if n in stats else 0 for n in range(at)]
-        place = F.element_at(F.col("_p"), _pick(widest, F.col("_n"), "int") + 1)
-        coord = F.shiftleft(place, TIE_BITS).bitwiseOR(F.col("tie"))
-        goal = [(stats[n]["w"] if n in stats else 0) * (shares[n] // 2) / max(shares[n], 1) for n in range(at)]
-        cut = _medians(nodes.select("_n", weight, coord.alias("_x")), weight, goal, [stats[n]["w"] if n in stats else 0 for n in range(at)], shares)
-        # a node of one leaf stays whole: all its rows go left
-        split = nodes.withColumn("_n", (F.col("_n") * 2 + (coord >= _pick(cut, F.col("_n"))).cast("int")).cast("int"))
-        nodes = shared.stored(spark, split, f"level{at}")
-        shares = [s for n in shares for s in ((n // 2, n - n // 2) if n > 1 else (n, 0))]
-        at *= 2
-    firsts = [sum(shares[:n]) for n in range(at)]
-    return nodes.withColumn("shard", _pick(firsts, F.col("_n"), "int")).drop("_n", "_p")
-
-
-def _medians(rows: DataFrame, weight: str, goal: list[float], whole: list[int], shares: list[int]) -> list[int]:
-    """For each node the place before which it has the wanted weight; the end where it isn't to be split."""
-    width = BITS + TIE_BITS
-    low, done = [0] * len(goal), [0.0] * len(goal)
-    open_ = [n for n in range(len(goal)) if shares[n] > 1 and whole[n]]
-    cut = [1 << 62 if shares[n] < 2 else 0 for n in range(len(goal))]
-    step = max(1, min(10, 16 - max(1, len(goal)).bit_length()))
-    while open_ and width > 0:
-        width = max(0, width - step)
-        node = F.col("_n")
-        span = 1 << min(62, width + step)
-        inside = rows.where(_pick([n in open_ for n in range(len(goal))], node, "boolean") & (F.col("_x") >= _pick(low, node)) & (F.col("_x") - _pick(low, node) < span))
-        bins: dict[int, list] = {n: [] for n in open_}
-        for r in inside.groupBy("_n", F.shiftright(F.col("_x") - _pick(low, node), width).alias("b")).agg(F.sum(weight).alias("w")).collect():
-            bins[r["_n"]].append((r["b"], r["w"]))
-        for n in list(open_):
-            below = done[n]
-            for b, w in sorted(bins[n]):
-                if below + w >= goal[n] or (b, w) == max(bins[n]):
-                    break
-                below += w
-            if w <= whole[n] * TOLERANCE or width == 0:
-                over = below + w - goal[n] < goal[n] - below
-                cut[n] = low[n] + ((b + over) << width)
-                open_.remove(n)
-            else:
-                low[n] += b << width
-                done[n] = below
-    return cut
-
-
-def number(df: DataFrame, group: str, tie: str, into: str) -> DataFrame:
-    """Number the rows of each group from 0 without a gap; a group is dealt to many tasks."""
-    n = df.count()
-    parts = max(1, math.ceil(n / (16 * SLOT_ROWS)))
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_rows"))
-    before = counts.select(group, "_part", (F.sum("_rows").over(W.partitionBy(group).orderBy("_part")) - F.col("_rows")).alias("_before"))
-    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy(group, "_part").orderBy(tie)) - 1)
-    return own.join(before, [group, "_part"]).withColumn(into, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+    """rows with columns ``shard`` from 0 to leaves - 1 and ``tie``, a number of the row's own. Weights are positive."""
+    if leaves < 1:
+        raise ValueError("leaves must be 1 or more")
+    names, n = rows.columns, rows.count()
+    parts = max(1, math.ceil(n / PART_ROWS))
+    # equal rows get numbers of their own; what numbers them is stored
+    tie = F.struct(F.xxhash64(*names).alias("h"), F.monotonically_increasing_id().alias("i"))
+    points = shared.stored(spark, rows.withColumn("tie", tie), "points")
+    for i, d in enumerate(dims):
+        if isinstance(rows.schema[d].dataType, T.StringType):
+            points = ranked(spark, points, d, f"_c{i}", parts)
+        else:
+            points = points.withColumn(f"_c{i}", F.col(d).cast("long"))
+    codes = [f"_c{i}" for i in range(len(dims))]
+    ends = points.agg(*(f(c).alias(f"{k}{c}") for c in codes for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    # from 0 to 1 by the dimension's range; null is the least
+    scaled = [F.coalesce((F.col(c) - F.lit(ends[f"lo{c}"] or 0)) / F.lit(float(max((ends[f"hi{c}"] or 0) - (ends[f"lo{c}"] or 0), 1))), F.lit(-1e-9)) for c in codes]
+    nodes = points.select(*names, "tie", F.array(*scaled).alias("_p"), F.lit(0).cast("long").alias("_n"), F.lit(leaves).cast("long").alias("_share"))
+    # a node's number is that of its first leaf
+    for level in range(max(0, math.ceil(math.log2(leaves)))):
+        spread = [F.coalesce(F.stddev_pop(F.col("_p")[i]), F.lit(0.0)) for i in range(len(dims))]
+        stats = nodes.groupBy("_n").agg(F.first("_share").alias("_share"), F.sum(weight).alias("_whole"), F.count("*").alias("_rows"), F.array(*spread).alias("_s"))
+        widest = F.array_position("_s", F.array_max("_s")).cast("int")
+        left = F.floor(F.col("_share") / 2)
+        table = shared.stored(spark, stats.select("_n", widest.alias("_dim"), (F.col("_whole") * left / F.col("_share")).alias("_goal"), left.alias("_left"), "_rows", "_whole"), f"stats{level}")
+        known = shared.joined(nodes, table.drop("_whole"), "_n", "_rows")
+        order = [F.col("_n"), F.element_at("_p", F.col("_dim")), F.col("tie")]
+        summed = _before(spark, _in_order(spark, known, order, parts, f"sorted{level}"), F.col(weight), "_sum")
+        # sums begin anew in each node: what all nodes before it weigh is the least of its rows' sums
+        base = shared.stored(spark, summed.groupBy("_n").agg(F.min("_sum").alias("_base"), F.count("*").alias("_rows")), f"base{level}")
+        placed = shared.joined(summed.drop("_part", "_place"), base, "_n", "_rows")
+        # a row goes to the side on which more of it lies; a node of one leaf stays whole
+        right = (F.col("_left") > 0) & (F.col("_sum") - F.col("_base") + F.col(weight) / 2 > F.col("_goal"))
+        share = F.when(F.col("_left") == 0, F.col("_share")).when(right, F.col("_share") - F.col("_left")).otherwise(F.col("_left"))
+        nodes = placed.select(*names, "tie", "_p", (F.col("_n") + F.when(right, F.col("_left")).otherwise(0)).alias("_n"), share.cast("long").alias("_share"))
+        nodes = shared.stored(spark, nodes, f"level{level}")
+    return nodes.select(*names, F.col("_n").cast("int").alias("shard"), "tie")
+
+
+def number(spark: SparkSession, df: DataFrame, group: str, tie: str, into: str) -> DataFrame:
+    """Number the rows of each group from 0 without a gap, all tasks alike however large a group is."""
+    parts = max(1, math.ceil(df.count() / PART_ROWS))
+    held = _before(spark, _in_order(spark, df, [F.col(group), F.col(tie)], parts, "numbered"), F.lit(1).cast("long"), into)
+    held = held.drop("_part", "_place")
+    base = shared.stored(spark, held.groupBy(group).agg(F.min(into).alias("_base"), F.count("*").alias("_rows")), "firsts")
+    return shared.joined(held, base, group, "_rows").withColumn(into, F.col(into) - F.col("_base")).drop("_base")
 
 
 def kd_shards(spark: SparkSession, docs: DataFrame, leaves: int = 16, target_bytes: int | None = None) -> DataFrame:
@@ -124,7 +117,7 @@ def kd_shards(spark: SparkSession, docs: DataFrame, leaves: int = 16, target_byt
         *(c for c in ("lang", "source") if c in docs.columns),
     )
     if target_bytes:
-        leaves = min(MOST_LEAVES, max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes)))
+        leaves = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     dims = [c for c in ("lang", "source", "size", "doc_id") if c in rows.columns]
-    found = shared.stored(spark, kd_leaves(spark, rows, dims, "size", leaves).select("doc_id", "size", "text_crc32", "shard", "tie"), "leaves")
-    return number(found, "shard", "tie", "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    found = kd_leaves(spark, rows, dims, "size", leaves).select("doc_id", "size", "text_crc32", "shard", "tie")
+    return number(spark, found, "shard", "tie", "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,4 +1,5 @@
 import random
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
@@ -58,3 +59,59 @@ def test_few_rows_and_none(spark):
 def test_native(spark):
     plan = kd_shards.kd_shards(spark, frame(spark, example(50)), 4)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def tree(points, leaves):
+    """A k-d tree by sorting: (weight, coordinates, tie) to leaf numbers, splitting the widest dimension at the weighted median."""
+    out = {}
+
+    def split(rows, first, leaves):
+        if leaves == 1 or not rows:
+            out.update((r[2], first) for r in rows)
+            return
+        spread = [statistics.pstdev([r[1][d] for r in rows]) for d in range(len(rows[0][1]))]
+        d = spread.index(max(spread))
+        rows = sorted(rows, key=lambda r: (r[1][d], r[2]))
+        goal, total, sides = sum(r[0] for r in rows) * (leaves // 2) / leaves, 0, ([], [])
+        for r in rows:
+            sides[total + r[0] / 2 > goal].append(r)
+            total += r[0]
+        split(sides[0], first, leaves // 2)
+        split(sides[1], first + leaves // 2, leaves - leaves // 2)
+
+    split(points, 0, leaves)
+    return out
+
+
+def test_against_a_tree_by_sorting(spark):
+    r = random.Random(4)
+    rows = [(i, r.randint(1, 60), r.choice(["src-aaaa-1", "src-aaaa-2", "src-aaaa-3", None])) for i in range(700)]
+    names = {s: k for k, s in enumerate([None, "src-aaaa-1", "src-aaaa-2", "src-aaaa-3"])}
+    points = [(w, (names[s] / 3, (i - 0) / 699), i) for i, w, s in rows]
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    for leaves in (1, 2, 7, 13):
+        got = {x["doc_id"]: x["shard"] for x in kd_shards.kd_leaves(spark, df, ["source", "doc_id"], "size", leaves).collect()}
+        # ids are all different, so ties only meet in source: there the row's own number decides, which the tree can't know
+        want, sums = tree(points, leaves), defaultdict(Counter)
+        for i, w, _ in rows:
+            sums[0][got[i]] += w
+            sums[1][want[i]] += w
+        assert sorted(got.values()).count(0) > 0 and set(got.values()) == set(range(leaves))
+        assert all(abs(sums[0][k] - sums[1][k]) <= 120 for k in range(leaves))
+
+
+def test_strings_with_equal_beginnings_are_told_apart(spark):
+    df = spark.createDataFrame([(i, 10, f"a-very-long-source-{i % 2}") for i in range(400)], "doc_id long, size long, source string")
+    rows = kd_shards.kd_leaves(spark, df, ["source"], "size", 2).collect()
+    assert {(x["source"][-1], x["shard"]) for x in rows} == {("0", 0), ("1", 1)}
+
+
+def test_more_leaves_than_are_ever_listed(spark):
+    """Beyond any fixed number of leaves the target still holds, and equal rows are split."""
+    docs = [(7, "x" * 9, "en", "s") for _ in range(12_000)]
+    rows = kd_shards.kd_shards(spark, frame(spark, docs), target_bytes=20).collect()
+    sums = Counter()
+    for x in rows:
+        sums[x["shard"]] += x["size"]
+    assert len(sums) == 6000 and set(sums.values()) == {20}
+    assert all(x["slot"] in (0, 1) for x in rows)
