@@ -8,8 +8,8 @@ into byte ranges; only these are read.
 
 Files get a new name at every attempt and the index names those of the attempt that counted, so that
 repeated tasks are harmless. Of records with equal payloads, that with the largest page_id is the
-response; the join that finds it is on the payload's digest, which Spark may split where thousands
-of pages are equal. Cases: null html is an empty payload; a null page_id is the smallest; rows that
+response. The digests that repeat are looked up in a table that is broadcast while small; of a larger one,
+the much repeated digests are. Reading is dealt to tasks by the archives' bytes. Cases: null html is an empty payload; a null page_id is the smallest; rows that
 repeat the response's page_id and payload are responses too; null URLs are empty; an empty table
 writes nothing; other columns are ignored.
 """
@@ -34,6 +34,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Ranges that are this near are read as one; ranges are read up to the second number of bytes.
 GAP, RANGE_BYTES = 64 << 10, 4 << 20
+#: Bytes of archive for which one reading task is made.
+TASK_BYTES = 8 << 20
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -104,10 +106,11 @@ def write_archives(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write all rows; the index, stored."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    again = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = F.col("first")
     revisit = first.isNotNull() & ~F.col("page_id").eqNullSafe(first)
-    typed = rows.join(again, "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, first).alias("refers_to"))
+    found = shared.joined(rows, shared.stored(spark, again, "repeated"), "digest", "n", "left")
+    typed = found.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, first).alias("refers_to"))
     return shared.stored(spark, typed.mapInArrow(_write(shared.shared_dir(spark, "warc")), INDEX), "warc-index")
 
 
@@ -146,7 +149,9 @@ def _read(payloads: bool):
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
     """The records that the index rows name. payloads: also the responses' bodies (of revisits, empty)."""
     stretch = F.expr(f"offset div {RANGE_BYTES}")
-    groups = index.groupBy("file", stretch.alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES) or 1
+    dealt = index.select("file", stretch.alias("stretch"), "offset", "length").repartition(tasks, "file", "stretch")
+    groups = dealt.groupBy("file", "stretch").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return groups.select("file", "records").mapInArrow(_read(payloads), kinds + (", payload binary" if payloads else ""))
 
