@@ -9,10 +9,13 @@ threshold that is calibrated on accepted URLs kept out of the counts, so that at
 of these are lost.
 
 The accepted model learns from the URLs that rules allow and, as most are fine, from those that no rule
-decides: a model that has seen too little finds all that is new unlikely. The rejected one learns from
-hosts made of seed words and from blocked URLs of hosts with such words; a host with such a word is no
-example of an accepted one. Other blocked URLs are a site's policy (a language, a folder), which says
-nothing about other sites; ``learn_blocked`` makes them examples too.
+decides: a model that has seen too little finds all that is new unlikely. Bad hosts are known by their words.
+Some are given (seeds); the others are learnt from the rules' own verdicts: a word of a host that rules block at
+least twice as often as hosts are blocked at all, beyond chance, marks bad ones (the domain that a rule names
+doesn't count, as every URL under it has that). The rejected model learns from hosts made of seed words and from
+blocked and undecided URLs of hosts with a marking word; no host with such a word is an example of an accepted one.
+Other blocked URLs are a site's policy (a language, a folder), which says nothing about other sites;
+``learn_blocked`` makes them examples too.
 
 Cases: a null URL or one without :// has an empty host and path, fits no rule, holds no evidence and
 is allowed; repeated rows are judged alike; with no rejected example all undecided URLs are allowed;
@@ -21,6 +24,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,6 +42,8 @@ BASE = 257
 #: Distinct grams that a worker holds before it sends them, and for which one shard is made.
 FLUSH, SHARD_GRAMS = 1 << 21, 1 << 20
 FALSE_ALARMS = 0.01
+#: Blocked URLs that a host's word must occur in to mark bad ones.
+PROOFS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules as (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -155,7 +162,7 @@ def train(spark: SparkSession, labelled: DataFrame) -> dict:
     counted = rows.mapInArrow(_count, "gram long, accepted long, rejected long").groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
     counted = shared.stored(spark, counted, "counted")
     folder = shared.shared_dir(spark, "grams")
-    shards = shared.power_of_two(counted.count() / SHARD_GRAMS, 8, 1 << 16)
+    shards = shared.power_of_two(counted.count() / SHARD_GRAMS, 8)
     dealt = counted.mapInArrow(_deal(shards), "gram long, accepted long, rejected long, shard int")
     written = dealt.groupBy("shard").applyInArrow(_write(folder), "shard int").collect()  # a number for each shard
     return {"folder": folder, "shards": shards, "written": {r["shard"] for r in written}}
@@ -236,14 +243,36 @@ def score(urls: DataFrame, model: dict) -> DataFrame:
     return df.mapInArrow(_ratio(model), f"{kinds}, ratio double")
 
 
+def marked(spark: SparkSession, judged: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Ids of rows of judged (id, host, ruled) whose hosts have a word that rules block beyond chance."""
+    ends = "|".join(sorted({re.escape(h) for _, h, _ in rules}, key=len, reverse=True))
+    own = F.regexp_replace("host", rf"(^|\.)({ends})$", "") if ends else F.col("host")
+    rows = judged.select("id", (F.col("ruled") == "block").alias("bad"), F.explode(F.array_distinct(F.split(own, "[.-]+"))).alias("word")).where("length(word) >= 3")
+    total = judged.agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")).first()
+    rate = total["bad"] / max(1, total["n"])
+    counts = rows.groupBy("word").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).where(f"bad >= {PROOFS} AND bad >= 2 * n * {rate!r}")
+    n, b = F.col("n"), F.col("bad")
+    term = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
+    gain = 2 * (term(b, n * rate) + term(n - b, n * (1 - rate)))  # log-likelihood ratio against chance
+    counts = shared.stored(spark, counts.select("word", "n", gain.alias("gain")), "host-words")
+    least = 2 * math.log(max(1, counts.count()) / 0.01)
+    return shared.joined(rows.select("id", "word"), counts.where(F.col("gain") >= least).select("word", "n"), "word", "n").select("id").distinct()
+
+
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS, false_alarms: float = FALSE_ALARMS, learn_blocked: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict and the models' ratio."""
     h, p = host(F.col("url")), path(F.col("url"))
     name, verdict = rule_of(rules, h, p)
-    judged = pages.select("page_id", F.concat(h, p).alias("url"), h.alias("host"), p.alias("path"), name.alias("rule"), verdict.alias("ruled"))
+    judged = pages.select("page_id", F.concat(h, p).alias("url"), h.alias("host"), p.alias("path"), name.alias("rule"), verdict.alias("ruled"), F.monotonically_increasing_id().alias("id"))
+    judged = shared.stored(spark, judged, "urls")
+    with_words = marked(spark, judged, rules).withColumn("learnt", F.lit(True))
     named = F.col("host").rlike(f"(^|[.-])({'|'.join(seeds)})([.-]|$)") if seeds else F.lit(False)
+    named = named | F.coalesce("learnt", F.lit(False))
     blocked = F.coalesce(F.col("ruled") == "block", F.lit(False))
-    decided = judged.where(F.when(blocked, named | F.lit(learn_blocked)).otherwise(~named & (F.col("url") != ""))).select("url", blocked.cast("int").alias("rejected"))
+    free = F.col("ruled").isNull() & (F.col("url") != "")
+    example = F.when(blocked, named | F.lit(learn_blocked)).when(free, F.lit(True)).otherwise(~named & (F.col("url") != ""))
+    decided = judged.join(with_words, "id", "left").where(example).select("url", (blocked | free & named).cast("int").alias("rejected"))
+    decided = shared.stored(spark, decided, "decided")
     kept_out = (F.col("rejected") == 0) & (F.pmod(F.xxhash64("url"), F.lit(10)) == 0)
     # seeds are shown often enough to weigh as much as the rules' own rejections do, at any size
     n = decided.where("rejected = 1").count()
@@ -256,5 +285,5 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str
     model = train(spark, learnt)
     limit = score(decided.where(kept_out).select("url"), model).agg(F.percentile_approx("ratio", 1 - false_alarms, 10000)).first()[0]
     limit = max(0.0, limit if limit is not None else 0.0)
-    scored = score(judged, model)
+    scored = score(judged.drop("id"), model)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("ratio") > limit, "block").otherwise("allow")).alias("verdict"), "ratio")
