@@ -1,14 +1,15 @@
 """Toxicity: a classifier that is regularised with counterfactual sentences.
 
 It learns from at most SAMPLE labelled rows (a bound; the sample is the same at any run), equal texts
-once. In three steps: words that mark either class far beyond chance are selected from counts made in
-Spark. What counts is in how many different surroundings (the words next to it) a word stands in either
+once. In three steps: words that mark either class far beyond chance (one of twenty corpora without any such
+word would give one) are selected from counts made in Spark, as many as there are. What counts is in how many different surroundings (the words next to it) a word stands in either
 class, so that the words of a text that was copied and labelled many times prove no more than once. A
 logistic regression gives each a weight; a second one puts together their sum and how many of the
 marking words a text has, so that one such word in a long text does not decide. Both are penalised
-for changing a score when identity terms are swapped: every text of the sample that has such a term
-is rewritten with other terms of its group and without it, goes through both steps, and the squared
-differences of either step's score enter its loss. Identity terms never count as marking.
+for changing a score when identity terms are swapped: in every text of the sample that has such a term, all its
+places are given to each other term of its group, and to a neutral word that is in no table; the text goes through
+both steps, and the squared differences of either step's score enter its loss. Both read which words a text has and
+how often, so a swapped text is known by what it loses and gains. Identity terms never count as marking.
 
 Scoring reads every text whole and looks its words up in the sorted table of selected words.
 
@@ -25,21 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, words
 
 SAMPLE = 20_000
-CANDIDATES, SELECTED = 8192, 512
 #: Different surroundings in toxic texts that a word needs to be selected; and the weight from which it marks toxic texts.
 PROOFS, MARKING = 3, 0.25
 CUTOFF = 0.7
 #: How much a squared change of score in a swapped sentence costs, against one misjudged text.
 SWAP_WEIGHT = 5.0
 LEVELS = 4
-#: No document's own column is called so.
-SCORE = "_tx_score"
+#: Rows of the sample that a step of the fit takes at once.
+FIT_ROWS = 2048
 #: Identity terms by group, in the languages of the corpus.
 IDENTITY = (
     "men women boys girls males females transgender nonbinary",
@@ -154,17 +155,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, ridge: float, steps: int = 60) -> np.ndarray:
     """Newton's method for a logistic regression (last weight: bias) whose loss also has SWAP_WEIGHT times
     the mean square of ``changes @ w``, the changes of the linear score under swaps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    keep = np.zeros((x1.shape[1], x1.shape[1]))
-    keep[np.arange(x.shape[1]), np.arange(x.shape[1])] = ridge
+    size = x.shape[1] + 1
+    keep = np.zeros((size, size))
+    keep[np.arange(size - 1), np.arange(size - 1)] = ridge
     if len(changes):
         c1 = np.column_stack([changes, np.zeros(len(changes))])
         keep += 2 * SWAP_WEIGHT * len(x) / len(changes) * (c1.T @ c1)
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(size)
     for _ in range(steps):
-        p = _sigmoid(x1 @ w)
-        slope = x1.T @ (p - y) + keep @ w
-        curve = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + keep + 1e-9 * np.eye(len(w))
+        slope, curve = keep @ w, keep + 1e-9 * np.eye(size)
+        for a in range(0, len(x), FIT_ROWS):
+            part = np.column_stack([x[a : a + FIT_ROWS], np.ones(len(x[a : a + FIT_ROWS]))]).astype(float)
+            p = _sigmoid(part @ w)
+            slope += part.T @ (p - y[a : a + FIT_ROWS])
+            curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
         move = np.linalg.solve(curve, slope)
         w -= move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
         if np.abs(move).max() < 1e-7:
@@ -186,46 +190,43 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     empty = {"table": np.zeros(0, np.uint64), "weights": np.zeros(0), "marking": np.zeros(0, bool), "top": np.zeros(0), "rate": rate}
     if not good or not bad:
         return empty
-    counts = held.mapInArrow(_count, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n >= 3")
+    counts = held.mapInArrow(_count, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, b = F.col("n"), F.col("bad")
     term = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
     gain = 2 * (term(b, n * rate) + term(n - b, n * (1 - rate)))  # log-likelihood ratio against chance
     least = 2 * math.log(max(counts.count(), 1) / 0.05)
 
     ids = lambda picked: np.unique(np.asarray(picked.toArrow()["word"], dtype=np.int64).view(np.uint64))
-    likely = counts.withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.desc("gain"), "word").limit(CANDIDATES)
+    likely = counts.withColumn("gain", gain).where(F.col("gain") >= least)
     around = held.mapInArrow(_surroundings(ids(likely.select("word"))), "word long, around long, toxic int")
     around = around.groupBy("word", "around").agg((F.avg("toxic") > 0.5).cast("long").alias("bad"))
     proven = around.groupBy("word").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).where(f"bad >= {PROOFS} AND 2 * bad >= n")
-    chosen = ids(proven.orderBy(F.desc("bad"), "word").limit(SELECTED).select("word"))
+    chosen = ids(proven.select("word"))
     swaps = groups()
     table = np.unique(np.concatenate([chosen, *swaps]))
-    seen = held.mapInArrow(_features(table, swaps), "toxic int, words array<int>, counts array<int>, gone array<int>, come array<int>").toArrow().to_pylist()
-    y = np.array([r["toxic"] for r in seen], float)
-    # only words that occur get a column
-    used = np.unique(np.concatenate([np.array(r["words"] + [k for k in r["gone"] + r["come"] if k >= 0], np.int64) for r in seen])) if seen else np.zeros(0, np.int64)
+    seen = held.mapInArrow(_features(table, swaps), "toxic int, words array<int>, counts array<int>, gone array<int>, come array<int>").toArrow()
+    y = np.asarray(seen["toxic"]).astype(float)
+    flat = lambda name: np.concatenate([np.asarray(c.flatten()) for c in seen[name].chunks]).astype(np.int64) if seen.num_rows else np.zeros(0, np.int64)
+    row = lambda name: np.repeat(np.arange(len(y)), np.asarray(pc.list_value_length(seen[name])).astype(np.int64))
+    at, i, gone, come = flat("words"), row("gone"), flat("gone"), flat("come")
+    # only words that occur get a column; at most `sample` rows, a byte for each
+    used = np.unique(np.concatenate([at, gone[gone >= 0], come[come >= 0]]))
     if not len(used):
         return empty
-    column = {int(k): i for i, k in enumerate(used)}
-    # at most SAMPLE rows and a column for each selected word and term
-    x = np.zeros((len(seen), len(used)), np.float32)
-    swapped = []
-    for i, r in enumerate(seen):
-        x[i, [column[k] for k in r["words"]]] = 1
-        swapped += [(i, column[a], column[c] if c >= 0 else -1) for a, c in zip(r["gone"], r["come"], strict=True)]
-    swapped = np.array(swapped, np.int64).reshape(-1, 3)
-    kinds = np.unique(swapped[:, 1:], axis=0)
+    who, at = row("words"), np.searchsorted(used, at)
+    x = np.zeros((len(y), len(used)), np.uint8)
+    x[who, at] = 1
+    gone, come = np.searchsorted(used, gone), np.where(come >= 0, np.searchsorted(used, come), -1)
+    kinds = np.unique(np.column_stack([gone, come]), axis=0)  # a row for a pair of terms, however many texts have it
     delta = np.zeros((len(kinds), len(used)), np.float32)
     delta[np.arange(len(kinds)), kinds[:, 0]] = -1
     delta[np.flatnonzero(kinds[:, 1] >= 0), kinds[kinds[:, 1] >= 0, 1]] = 1
     w = fit(x, y, delta, 1.0)[:-1]
     # what a text says of a group is no mark, so that a swap leaves its hits as they are
     marking = (w > MARKING) & ~_in(np.unique(np.concatenate(swaps)), table[used])
-    marks = set(used[marking].tolist())
-    hits = np.array([sum(c for k, c in zip(r["words"], r["counts"], strict=True) if k in marks) for r in seen])
-    linear = x @ w
+    hits = np.bincount(who, weights=flat("counts") * marking[at], minlength=len(y))
+    linear = np.bincount(who, weights=w[at], minlength=len(y))
     levels = _levels(linear, hits)
-    i, gone, come = swapped.T
     after = linear[i] - w[gone] + np.where((come >= 0) & (x[i, come] == 0), w[come], 0)
     top = fit(levels, y, _levels(after, hits[i]) - levels[i], 0.3)
     order = np.argsort(used)
@@ -252,32 +253,35 @@ def scores(model: dict, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return _sigmoid(np.column_stack([x, np.ones(n)]) @ model["top"])
 
 
-def _score(model, text: str, keep: list[str]):
+def _score(model, own: int):
+    """Columns (text, others ...) with a score; own: how many other columns there are."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.single_threaded()
-        for rb in words.batches(rows, text):
-            get = lambda k, rb=rb: rb.column(rb.schema.get_field_index(k))
-            out = [scores(model.value, h, offsets) for _, h, offsets in words.texts_words(get(text), words.ALNUM)]
-            yield pa.RecordBatch.from_arrays([*map(get, keep), pa.array(np.concatenate(out) if out else np.zeros(0))], [*keep, SCORE])
+        for rb in rows:
+            for small in words.batches([rb], rb.schema.names[0]):
+                out = [scores(model.value, h, offsets) for _, h, offsets in words.texts_words(small.column(0), words.ALNUM)]
+                yield pa.RecordBatch.from_arrays([*small.columns[1:], pa.array(np.concatenate(out) if out else np.zeros(0))], [f"c{i}" for i in range(own + 1)])
 
     return run
 
 
-def score(spark: SparkSession, rows: DataFrame, text: str, keep: list[str], model: dict) -> DataFrame:
-    """The columns to keep and a column SCORE from 0 to 1."""
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), text, keep), f"{kinds}, {SCORE} double")
+def score(spark: SparkSession, docs: DataFrame, keep: list[str], model: dict) -> tuple[DataFrame, str]:
+    """The columns to keep of every row of docs, and a score from 0 to 1 of its text; and the score's name."""
+    (name,) = shared.fresh(keep, "score")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *(shared.quoted(k).alias(f"c{i}") for i, k in enumerate(keep)))
+    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), len(keep)), shared.with_fields(docs, keep, (name, "double"))), name
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs; learns from labels outside the fold."""
     model = train(spark, docs, labels.where(~in_fold(F.col("doc_id"))))
-    rows = docs.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "text")
-    scored = score(spark, rows, "text", ["doc_id", "held_out"], model)
-    return scored.select("doc_id", "held_out", F.col(SCORE).alias("score"), (F.col(SCORE) >= CUTOFF).cast("int").alias("predicted"))
+    scored, name = score(spark, docs, ["doc_id"], model)
+    return scored.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), name, (F.col(name) >= CUTOFF).cast("int").alias("predicted"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those judged toxic, all columns as they were."""
+    """docs without those judged toxic, all columns as they were, whatever their names."""
     model = train(spark, docs, labels.where(~in_fold(F.col("doc_id"))))
-    return score(spark, docs, "text", docs.columns, model).where(F.col(SCORE) < CUTOFF).select(*docs.columns)
+    scored, name = score(spark, docs, docs.columns, model)
+    return scored.where(F.col(name) < CUTOFF).select(*map(shared.quoted, docs.columns))

@@ -109,3 +109,27 @@ def test_groups_do_not_stand_in_for_missing_insults(spark):
     for name in ("group", "twice", "partner"):
         assert np.abs(scores[name] - scores["none"]).max() < 0.05 and scores[name].max() < 0.5
     assert np.abs(scores["two and group"] - scores["two"]).max() < 0.05 and scores["two"].min() > 0.7
+
+
+def test_more_marking_words_than_any_fixed_number(spark):
+    """Every toxic text has its own mix of 900 insults, each of them proven: all get a weight for it."""
+    r = random.Random(8)
+    insults, plain = [f"bad{i}" for i in range(900)], [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(4000):
+        w = [r.choice(plain) for _ in range(20)]
+        for _ in range(20 * (i % 2)):
+            w.insert(r.randrange(len(w)), r.choice(insults))
+        docs.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    d = spark.createDataFrame([(*x, "z") for x in docs], SCHEMA)
+    model = toxicity.train(spark, d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    have = set(model["table"][model["weights"] > 0].tolist())
+    assert sum(words.word_hash(w) in have for w in insults) >= 890
+
+
+def test_clean_with_odd_columns(spark):
+    docs, labels = example(200)
+    d = spark.createDataFrame([(*x, "z", "a", "b") for x in docs], "doc_id long, text string, score string, `a.b` string, `_text` string")
+    kept = toxicity.clean(spark, d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == d.columns and set(map(tuple, kept.collect())) <= {(*x, "z", "a", "b") for x in docs}
