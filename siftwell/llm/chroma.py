@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -35,7 +35,6 @@ SPAN, QUANTILE, FLOOR = 16, 0.45, 0.03
 BLOCK = 1 << 20
 #: Equal numbers at one offset before bits are compared; frames that must overlap; bits that may differ.
 VOTES, OVERLAP, ERRORS = 3, 24, 0.2
-BEST = 3
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -174,22 +173,18 @@ def align(block: dict, own: np.ndarray) -> Iterator[tuple[int, int, float, int]]
     who, offset = block["who"][hit], block["at"][hit] - mine
     reach = 1 << 31
     votes, n = np.unique(who * (2 * reach) + offset + reach, return_counts=True)
-    some = n >= VOTES
-    votes, n = votes[some], n[some]
-    order = np.lexsort((votes, -n, votes // (2 * reach)))
-    last, tried, best = -1, 0, None
-    for k in [*order.tolist(), None]:
-        q = -2 if k is None else int(votes[k] // (2 * reach))
+    last, best = -1, None
+    for k in [*votes[n >= VOTES].tolist(), None]:
+        q = -2 if k is None else k // (2 * reach)
         if q != last:
             if best is not None:
                 yield best
-            last, tried, best = q, 0, None
-        if k is None or tried >= BEST:
+            last, best = q, None
+        if k is None:
             continue
-        tried += 1
-        at = int(votes[k] % (2 * reach)) - reach
+        at = k % (2 * reach) - reach
         wrong, overlap = errors(block["queries"][q][1], own, at)
-        if wrong <= ERRORS and overlap >= OVERLAP and (best is None or (wrong, -overlap) < (best[2], -best[3])):
+        if wrong <= ERRORS and overlap >= OVERLAP and (best is None or (wrong, -overlap, at) < (best[2], -best[3], best[1])):
             best = (q, at, wrong, overlap)
 
 
@@ -232,13 +227,38 @@ def search(spark: SparkSession, prints: DataFrame, queries: DataFrame, key: str)
     kind = prints.schema[key].dataType.simpleString()
     schema = f"query_id {kind}, `{key}` {kind}, offset long, bit_errors double, overlap long"
     found = None
-    for block in blocks(queries):
+    prints = prints.select(key, "numbers")
+    for block in blocks(queries.select(key, "numbers")):
         part = prints.mapInArrow(_search(spark.sparkContext.broadcast(block), key), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
+def classes(prints: DataFrame, key: str, query: Column) -> DataFrame:
+    """(class_id, numbers, rows, asked) of recordings with equal numbers: how many there are, and whether one is a query."""
+    named = prints.where("size(numbers) > 0").groupBy("numbers")
+    return named.agg(F.min(key).alias("class_id"), F.count("*").alias("rows"), F.max(query).alias("asked")).select("class_id", "numbers", "rows", "asked")
+
+
 def match_vectors(spark: SparkSession, vectors: DataFrame, every: int = 50) -> DataFrame:
-    """Play each vector, then look for the rows whose id is divisible by ``every`` among all."""
+    """Play each vector, then look for the rows whose id is divisible by ``every`` among all.
+
+    A row for each vector: vec_id; class_id, the least vec_id with the same fingerprint; matches, the other classes
+    with a query that it matches, as (query_class, offset, bit_errors, overlap); is_query.
+    """
     prints = shared.stored(spark, fingerprints(vectors, "vec_id", "embedding", render), "prints")
-    return search(spark, prints, prints.where(F.col("vec_id") % every == 0), "vec_id")
+    asked = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
+    found = shared.stored(spark, classes(prints, "vec_id", asked), "classes")
+    pairs = search(spark, found, found.where("asked"), "class_id")
+    matches = F.sort_array(F.collect_list(F.struct(F.col("query_id").alias("query_class"), "offset", "bit_errors", "overlap"))).alias("matches")
+    # a class matches no more classes than there are queries
+    matched = found.join(pairs.groupBy("class_id").agg(matches), "class_id", "left").select("class_id", "rows", "matches", F.xxhash64("numbers").alias("print"), "numbers")
+    table = shared.stored(spark, matched, "matched")
+    own = prints.select("vec_id", F.xxhash64("numbers").alias("print"), F.size("numbers").alias("n"), asked.alias("is_query"))
+    # two fingerprints of one hash would be told apart by their numbers; such a table is refused
+    if table.count() != table.select("print").distinct().count():
+        raise ValueError("two fingerprints have the same hash")
+    known = shared.joined(own.where("n > 0"), table.drop("numbers"), "print", "rows").select("vec_id", "class_id", "matches", "is_query")
+    none = own.where("n <= 0 OR n IS NULL").select("vec_id", F.lit(None).cast(vectors.schema["vec_id"].dataType).alias("class_id"), F.lit(None).cast(table.schema["matches"].dataType).alias("matches"), "is_query")
+    kind = table.schema["matches"].dataType.simpleString()
+    return known.unionByName(none).withColumn("matches", F.coalesce("matches", F.array().cast(kind)))

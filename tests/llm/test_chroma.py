@@ -67,14 +67,70 @@ def test_search_against_every_offset(spark):
     assert got[0, 20]["offset"] == 20 and got[20, 0]["offset"] == -20 and got[5, 22]["offset"] == 7 and got[0, 30]["bit_errors"] == 0
 
 
-def test_blocks_make_no_difference(spark, monkeypatch):
+def test_long_silence_hides_no_match(spark):
+    """Held tones vote for many offsets; the one where the passage lies is tried too."""
+    r = np.random.default_rng(3)
+    hold = [0.3] * 40
+    rows = [(i, [*map(float, r.normal(size=30)), *hold, *map(float, song(i % 3, 40)), *hold]) for i in range(9)]
+    df = spark.createDataFrame([(i, bytearray(chroma.render(v))) for i, v in rows], "vec_id long, audio binary")
+    prints = chroma.shared.stored(spark, chroma.fingerprints(df, "vec_id", "audio"), "prints")
+    got = {(x["query_id"], x["vec_id"]) for x in chroma.search(spark, prints, prints.where("vec_id % 2 = 0"), "vec_id").collect()}
+    want = brute([(i, chroma.fingerprint(chroma.render(v))) for i, v in rows], 2)
+    assert got <= want and len(got) >= 0.9 * len(want) and want
+
+
+def test_classes_and_matches(spark):
+    r = np.random.default_rng(6)
+    noisy = lambda i: [float(x) for x in song(i) + r.normal(size=64) * 0.002]
+    rows = [(i, [float(x) for x in song(i % 4)], "x") for i in range(20)] + [(100 + i, noisy(i), "x") for i in range(4)] + [(200, None, "x"), (201, [], "x"), (None, [1.0] * 64, "x"), (5, [float(x) for x in song(1)], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, matches string")
+    got = chroma.match_vectors(spark, df, 3).collect()
+    assert len(got) == len(rows)
+    by = {x["vec_id"]: x for x in got}
+    prints = {i: chroma.fingerprint(chroma.render(v)).tolist() for i, v, _ in rows}
+    for i, x in by.items():
+        same = [j for j in prints if j is not None and prints[j] == prints[i]]
+        assert x["class_id"] == (min(same) if prints[i] and same else None), i
+        assert x["is_query"] == (i is not None and i % 3 == 0)
+    want = brute([(i, np.array(p, np.uint32)) for i, p in prints.items() if i is not None], 3)
+    pairs = {(by[q]["class_id"], by[v]["class_id"]) for q, v in want if by[q]["class_id"] != by[v]["class_id"]}
+    found = {(m["query_class"], x["class_id"]) for x in got for m in x["matches"]}
+    assert found <= pairs and len(found) >= 0.9 * len(pairs)
+
+
+def test_blocks_of_queries(spark):
     rows = [(i, [float(x) for x in song(i % 4)]) for i in range(20)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = sorted(map(tuple, chroma.match_vectors(spark, df, 3).collect()))
-    assert {(q, v) for q, v, *_ in whole} == {(q, v) for q in range(0, 20, 3) for v in range(20) if q != v and q % 4 == v % 4}
     parts = list(chroma.blocks(chroma.fingerprints(df, "vec_id", "embedding", chroma.render), 150))
     assert len(parts) == 4 and sum(len(q[0]) for b in parts for q in b["queries"]) == 20
 
 
+def test_recall_on_the_embeddings(spark):
+    """Every query of the corpus against every vector at every offset."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    prints = {x["vec_id"]: chroma.fingerprint(chroma.render(x["embedding"])) for x in table.collect()}
+    got = {x["vec_id"]: x for x in chroma.match_vectors(spark, table).collect()}
+    names = {v: x["class_id"] for v, x in got.items()}
+    found = {(m["query_class"], x["class_id"]) for x in got.values() for m in x["matches"]}
+    want = set()
+    for q, a in prints.items():
+        if q % 50 == 0:
+            wide = np.concatenate([np.zeros(200, np.uint32), a, np.zeros(200, np.uint32)])
+            for v, b in prints.items():
+                if names[v] != names[q]:
+                    rolled = np.lib.stride_tricks.sliding_window_view(wide, len(b))
+                    bits = np.bitwise_count(rolled ^ b)
+                    at = np.arange(len(rolled)) - 200
+                    low, high = np.maximum(0, -at), np.minimum(len(b), len(a) - at)
+                    sums = np.concatenate([np.zeros((len(rolled), 1)), bits.cumsum(1)], 1)
+                    n = high - low
+                    ok = n >= chroma.OVERLAP
+                    k = np.flatnonzero(ok)
+                    share = (sums[k, high[k]] - sums[k, low[k]]) / (32 * n[k])
+                    if len(k) and share.min() <= chroma.ERRORS:
+                        want.add((names[q], names[v]))
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
 def test_empty_table(spark):
     assert chroma.match_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
