@@ -6,12 +6,13 @@ with the Columns it is compared with.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import views
+from . import storage, views
 from .functions import metadata, scoring
 from .functions.bytesql import bytes_view, fold
 from .operators import entries, grep, live, numbering, postings, search, symbols
@@ -133,7 +134,6 @@ _token("t3_fuzzy_long", "readme", _fuzzy("name", "readme"))
 _token("t4_single_byte", "n", _fuzzy("name", "n"))
 _token("t6_typo_swap", "reprot", f"CASE WHEN lower(name) LIKE 'report%' THEN {_fuzzy('name', 'report', 30)} - 60 END")
 _token("t6_typo_missing", "confg.", f"CASE WHEN lower(name) LIKE 'config.%' THEN {_fuzzy('name', 'config.', 30)} - 60 END")
-_token("t6_typo_after_space", "flie", f"CASE WHEN false THEN 1 END")
 _token("t6_typo_in_word", "fille", f"CASE WHEN name LIKE 'my file%' THEN {_fuzzy('name', 'file', 30)} - 60 END")
 _token("t8_exact", "'doc", "CASE WHEN strpos(lower(name),'doc')>0 THEN 40 + CASE WHEN strpos(lower(name),'doc')=1 THEN 30 ELSE 0 END - least(strlen(name),80)//3 END")
 _token("t9_prefix", "^Rep", "CASE WHEN lower(name) LIKE 'rep%' THEN 60 - least(strlen(name),80)//3 END")
@@ -205,7 +205,6 @@ _on_entries("x10_text_file", lambda d: metadata.text_file(d["name"], d["size"]),
 _on_entries("x11_content_area", lambda d: metadata.in_content_area(d["path"], ROOT), "NOT list_contains(list_transform(folders, lambda f: f IN ('node_modules','.cache') OR (f LIKE '%.app' AND strlen(f)>4)), true)")
 _on_entries("x15_parent", lambda d: d["parent"], "array_to_string(list_slice(string_split(path,'/'),1,len(string_split(path,'/'))-1),'/')")
 _on_entries("x17_event_path", lambda d: entries.event_path(F.concat(F.lit("/System/Volumes/Data"), d["path"], F.lit("//"))), "path")
-_on_entries("x7_fingerprint_stable", lambda d: (F.xxhash64("path", "size", "mtime") == F.xxhash64(d["path"], d["size"], d["mtime"])), "true")
 
 # --- ranking and totals
 
@@ -243,16 +242,6 @@ def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("o6_limits", _limits, "SELECT * FROM (VALUES ('default', CAST(50 AS BIGINT)), ('own', 7), ('explicit', 9), ('zero', 0)) t(rule, n)")
 
 
-def _name_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = views.tree(spark, sf_dir).select("path", "is_dir", "name").orderBy(F.desc("is_dir"), metadata.is_hex_name(F.col("name")), "name", "path").limit(100)
-    from pyspark.sql import Window as W
-
-    return df.select("path", F.row_number().over(W.orderBy(F.desc("is_dir"), metadata.is_hex_name(F.col("name")), "name", "path")).alias("rank"))
-
-
-_add("o7_name_order", _name_order, f"{_WITH} SELECT path, CAST(row_number() OVER (ORDER BY is_dir DESC, name, path) AS INTEGER) AS rank FROM ents QUALIFY rank <= 100")
-
-
 def _fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .engine import Engine
 
@@ -366,7 +355,6 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("src5_refresh", _refreshed, f"{_WITH} SELECT path FROM ents WHERE NOT (path LIKE '/corpus/en/src1/%' OR path LIKE '/corpus/de/%') OR size%2=0")
 _add("j11_kept_folders", lambda s, d: _refreshed(s, d).where("path LIKE '/corpus/fr/%'"), f"{_WITH} SELECT path FROM ents WHERE path LIKE '/corpus/fr/%'")
-_add("src3_excluded", lambda s, d: views.tree(s, d).select(F.concat(F.lit("/dev"), "path").alias("path")).where(~entries.excluded(F.col("path"), "/")), f"{_WITH} SELECT path FROM ents WHERE false")
 _add("src_web_tree", lambda s, d: entries.folders_of(views.web(s, d), "/web").select("path"), "WITH w AS (SELECT '/web/'||regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','') AS p FROM pages), v AS (SELECT CASE WHEN p LIKE '%/' THEN p||'index.html' ELSE p END AS path FROM w) SELECT DISTINCT array_to_string(list_slice(string_split(path,'/'),1,i),'/') AS path FROM (SELECT path, unnest(range(3, CAST(len(string_split(path,'/')) AS BIGINT))) AS i FROM v)")
 
 
@@ -447,37 +435,36 @@ _add("g6_filters", _grep("er", query="ext:md en size:>1kb", per_file=1), _grep_s
 _add("g7_scope", _grep("tion", query="in:/corpus/fr", per_file=1), _grep_sql("contains(lower(text),'tion')", "contains(lower(l),'tion')", per_file=1, where="path LIKE '/corpus/fr/%'"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    found = grep.candidates(views.content(spark, sf_dir), parse(""), NOW, ROOT)
-    first = found.orderBy(*grep.candidate_order()).limit(200)
-    return first.select("path", "rank", F.row_number().over(W.orderBy(*grep.candidate_order())).alias("ord"))
-
-
-_add("o5_candidate_order", _candidates, f"WITH {_DOCS}, r AS (SELECT path, mtime, CAST(CASE WHEN contains(path,'/.') THEN -2 ELSE 0 END - CASE WHEN regexp_matches(path,'\\.(jsonl|ndjson|log|lock|sum)$') THEN 1 ELSE 0 END AS INTEGER) AS rank FROM docs) SELECT path, rank, CAST(row_number() OVER (ORDER BY rank DESC, mtime DESC, path) AS INTEGER) AS ord FROM r QUALIFY ord <= 200")
 _add("a9_counters", lambda s, d: grep.counters(views.content(s, d), grep.Grep("License"), parse("ext:md"), NOW, ROOT), f"WITH {_DOCS} SELECT count(*) AS candidates, count(*) AS read, CAST(count(*) FILTER (contains(text,'License')) AS BIGINT) AS hits, true AS complete FROM docs WHERE path LIKE '%.MD'")
 _add("f16_path_filter", lambda s, d: grep.candidates(views.content(s, d), parse("src1 !build type:code"), NOW, ROOT).select("path"), f"WITH {_DOCS} SELECT path FROM docs WHERE contains(path,'src1') AND NOT contains(path,'/build/') AND regexp_matches(path,'\\.(py|html)$')")
-_add("x13_trimmed_lines", lambda s, d: views.content(s, d).select("doc_id", metadata.trim_line(F.split("text", "\n")[0]).alias("line")), "WITH f AS (SELECT doc_id, rtrim(split_part(text,chr(10),1), ' '||chr(9)||chr(13)) AS l FROM documents) SELECT doc_id, CASE WHEN strlen(l) <= 200 THEN l ELSE list_max(list_filter(list_transform(range(1,201), lambda i: substr(l,1,CAST(i AS BIGINT))), lambda s: strlen(s) <= 200)) END AS line FROM f")
 _add("g13_ingest", lambda s, d: views.content(s, d).where(metadata.text_file(entries.name_of(F.col("path")), F.col("size")) & ~metadata.looks_binary(F.col("text").cast("binary"))).select("doc_id", metadata.doc_rank(F.col("path")).alias("rank")), f"WITH {_DOCS} SELECT doc_id, CAST(CASE WHEN contains(path,'/.') THEN -2 ELSE 0 END - CASE WHEN regexp_matches(path,'\\.(jsonl|log)$') THEN 1 ELSE 0 END AS INTEGER) AS rank FROM docs WHERE size > 0 AND size <= 1048576 AND NOT contains(text, chr(0))")
 
-# --- the trigram index; texts are cut to ASCII here so that DuckDB's characters are bytes
+# --- the trigram index, on the texts' bytes; in SQL these are two hexadecimal digits each
+
+
+_BYTES = "hex(encode(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))"
+_DIGIT = "(strpos('0123456789ABCDEF', substr(b, {}, 1)) - 1)"
+_NEXT = f"(16 * {_DIGIT.format('2*i+5')} + {_DIGIT.format('2*i+6')}) % 7"
+_TRI = f"t AS (SELECT doc_id, {_BYTES} AS b FROM documents), g AS (SELECT doc_id, substr(b, 2*i-1, 6) AS tri, CASE WHEN length(b) >= 2*i+6 THEN CAST(1 << CAST({_NEXT} AS INTEGER) AS INTEGER) ELSE 0 END AS bit FROM (SELECT doc_id, b, unnest(range(1, length(b)//2-1)) AS i FROM t WHERE length(b) >= 6)), post AS (SELECT doc_id, tri, bit_or(bit) AS follow FROM g GROUP BY ALL)"
 
 
-def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.content(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^\\x00-\\x7F]", "?").alias("text"))
+def _hexed(df: DataFrame) -> DataFrame:
+    return df.withColumn("tri", F.hex(F.encode("tri", "ISO-8859-1")))
 
 
-_TRI = "t AS (SELECT doc_id, lower(regexp_replace(text,'[^\\x00-\\x7F]','?','g')) AS b FROM documents), g AS (SELECT doc_id, substr(b,i,3) AS tri, CASE WHEN length(b) >= i+3 THEN CAST(1 << (ascii(substr(b,i+3,1)) % 7) AS INTEGER) ELSE 0 END AS bit FROM (SELECT doc_id, b, unnest(range(1, length(b)-1)) AS i FROM t WHERE length(b) >= 3)), post AS (SELECT doc_id, tri, bit_or(bit) AS follow FROM g GROUP BY ALL)"
-_add("a5_doc_trigrams", lambda s, d: postings.trigrams(_ascii(s, d)), f"WITH {_TRI} SELECT doc_id, tri, CAST(follow AS INTEGER) AS follow FROM post")
-_add("a6_postings_df", lambda s, d: postings.trigrams(_ascii(s, d)).groupBy("tri").agg(F.count("*").alias("docs")), f"WITH {_TRI} SELECT tri, count(*) AS docs FROM post GROUP BY tri")
+def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.trigrams(views.content(spark, sf_dir))
+
+
+_add("a5_doc_trigrams", lambda s, d: _hexed(_posted(s, d)), f"WITH {_TRI} SELECT doc_id, tri, CAST(follow AS INTEGER) AS follow FROM post")
+_add("a6_postings_df", lambda s, d: _hexed(_posted(s, d).groupBy("tri").agg(F.count("*").alias("docs"))), f"WITH {_TRI} SELECT tri, count(*) AS docs FROM post GROUP BY tri")
 
 
 def _planned(pattern: str, mode: str = "literal") -> Query:
     """Documents that the index leaves for a pattern, verified."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _ascii(spark, sf_dir)
+        docs = views.content(spark, sf_dir)
         need, follows = postings.literal_plan(pattern) if mode == "literal" else (regex.regex_need(pattern), {})
         left = postings.pruned(docs, postings.trigrams(docs), need, follows)
         return left.where(grep.Grep(pattern, mode).matches(F.col("text"))).select("doc_id")
@@ -485,36 +472,109 @@ def _planned(pattern: str, mode: str = "literal") -> Query:
     return run
 
 
-_ASC = "regexp_replace(text,'[^\\x00-\\x7F]','?','g')"
-_add("g10_literal_pruned", _planned("pathetic"), f"SELECT doc_id FROM documents WHERE contains(lower({_ASC}),'pathetic')")
-_add("g11_regex_pruned", _planned("(idiot|moron)\\w* [a-z]+ing", "regex"), f"SELECT doc_id FROM documents WHERE regexp_matches({_ASC},'(?i)(idiot|moron)[0-9a-z_]* [a-z]+ing')")
-_add("g8_verified", _planned("the and"), f"SELECT doc_id FROM documents WHERE contains(lower({_ASC}),'the and')")
-_add("u3_and_postings", lambda s, d: postings.candidate_docs(postings.trigrams(_ascii(s, d)), regex.both(["lic", "mit"])), f"WITH {_TRI} SELECT doc_id FROM post WHERE tri IN ('lic','mit') GROUP BY doc_id HAVING count(*)=2")
-_add("u2_or_postings", lambda s, d: postings.candidate_docs(postings.trigrams(_ascii(s, d)), regex.either(["lic", "mit"])), f"WITH {_TRI} SELECT DISTINCT doc_id FROM post WHERE tri IN ('lic','mit')")
-_add("j9_postings_intersect", lambda s, d: postings.candidate_docs(postings.trigrams(_ascii(s, d)), *postings.literal_plan("License")), f"WITH {_TRI} SELECT doc_id FROM post WHERE (tri='lic' AND follow & CAST(1 << (ascii('e')%7) AS INTEGER) <> 0) OR (tri='ice' AND follow & CAST(1 << (ascii('n')%7) AS INTEGER) <> 0) OR (tri='cen' AND follow & CAST(1 << (ascii('s')%7) AS INTEGER) <> 0) OR (tri='ens' AND follow & CAST(1 << (ascii('e')%7) AS INTEGER) <> 0) OR tri='nse' GROUP BY doc_id HAVING count(*)=5")
+_add("g10_literal_pruned", _planned("pathetic"), "SELECT doc_id FROM documents WHERE contains(lower(text),'pathetic')")
+_add("g11_regex_pruned", _planned("(idiot|moron)\\w* [a-z]+ing", "regex"), "SELECT doc_id FROM documents WHERE regexp_matches(text,'(?i)(idiot|moron)[0-9a-z_]* [a-z]+ing')")
+_add("g8_verified", _planned("the and"), "SELECT doc_id FROM documents WHERE contains(lower(text),'the and')")
+_hex = lambda word: word.encode().hex().upper()
+_add("u3_and_postings", lambda s, d: postings.candidate_docs(_posted(s, d), regex.both(["lic", "mit"])), f"WITH {_TRI} SELECT doc_id FROM post WHERE tri IN ('{_hex('lic')}','{_hex('mit')}') GROUP BY doc_id HAVING count(*)=2")
+_add("u2_or_postings", lambda s, d: postings.candidate_docs(_posted(s, d), regex.either(["lic", "mit"])), f"WITH {_TRI} SELECT DISTINCT doc_id FROM post WHERE tri IN ('{_hex('lic')}','{_hex('mit')}')")
+_FOLLOWED = " OR ".join(f"(tri='{_hex('license'[i : i + 3])}'" + (f" AND follow & {1 << (ord('license'[i + 3]) % 7)} <> 0)" if i < 4 else ")") for i in range(5))
+_add("j9_postings_intersect", lambda s, d: postings.candidate_docs(_posted(s, d), *postings.literal_plan("License")), f"WITH {_TRI} SELECT doc_id FROM post WHERE {_FOLLOWED} GROUP BY doc_id HAVING count(*)=5")
 
-# --- windows, summaries, comparisons
 
+def _bloomed(literal: str) -> Query:
+    """Documents whose filters allow a literal, verified: a filter that lost one would show."""
 
-def _preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = views.content(spark, sf_dir)
+        allowed = postings.blooms(docs).where(postings.may_hold(literal)).select("doc_id")
+        return docs.join(allowed, "doc_id", "left_semi").where(grep.Grep(literal).matches(F.col("text"))).select("doc_id")
 
-    df = views.tree(spark, sf_dir).where("is_dir")
-    key = F.concat("order_key", entries.order_key(F.array("name")))
-    return df.select("path", F.row_number().over(W.orderBy(key)).alias("pre"))
+    return run
 
 
-_add("w4_preorder", _preorder, f"{_WITH} SELECT path, CAST(row_number() OVER (ORDER BY list_transform(list_append(folders, name), lambda f: '0'||f)) AS INTEGER) AS pre FROM ents WHERE is_dir")
+_add("x8_bloom_grams", _bloomed("licen"), "SELECT doc_id FROM documents WHERE contains(lower(text),'licen')")
+_add("g12_bloom_pruned", _bloomed("pathetic"), "SELECT doc_id FROM documents WHERE contains(lower(text),'pathetic')")
+
+
+def _segmented(spark: SparkSession, sf_dir: str, merge: bool) -> tuple[str, DataFrame]:
+    """An index in three segments, the last of which has newer versions of some files."""
+    folder = storage.shared_dir(spark, "index")
+    docs = views.content(spark, sf_dir)
+    for part in (docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1"), docs.where("doc_id % 9 = 0").withColumn("size", F.col("size") + 1)):
+        postings.add_segment(spark, folder, part)
+    if merge:
+        postings.merge_segments(spark, folder, [0, 2])
+    return folder, docs
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = postings.open_index(spark, _segmented(spark, sf_dir, True)[0])
+    return postings.candidates(index, *postings.literal_plan("license"), "license").join(views.content(spark, sf_dir).where(grep.Grep("license").matches(F.col("text"))).select("doc_id"), "doc_id", "left_semi").select("path", "size")
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, docs = _segmented(spark, sf_dir, False)
+    return postings.coverage(postings.open_index(spark, folder), docs)
+
 
+_add("g16_segment_merge", _merged, f"WITH {_DOCS} SELECT path, CASE WHEN doc_id % 9 = 0 THEN size + 1 ELSE size END AS size FROM docs WHERE doc_id % 3 <> 2 AND contains(lower(text),'license')")
+_add("g17_coverage", _covered, f"WITH {_DOCS} SELECT count(*) FILTER (doc_id%3<>2) AS docs, CAST(sum(CASE WHEN doc_id%9=0 THEN size+1 ELSE size END) FILTER (doc_id%3<>2) AS BIGINT) AS bytes, count(*) FILTER (doc_id%3<>2 AND doc_id%9<>0) AS covered, count(*) FILTER (doc_id%3=2 OR doc_id%9=0) AS missing, CAST(0 AS BIGINT) AS without_bloom, false AS ready FROM docs")
 
-def _path_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
 
-    first = views.content(spark, sf_dir).select("path").orderBy("path").limit(100)
-    return first.select("path", F.dense_rank().over(W.orderBy("path")).alias("place"))
+def _engine_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grep through a persisted index that lacks a third of the files, which are read anyway."""
+    from .engine import Engine
+
+    folder, docs = _segmented(spark, sf_dir, False)
+    none = views.tree(spark, sf_dir)
+    return Engine(spark, none, docs, none, ROOT, now=NOW, index=folder).grep("License", limit=1 << 30, per_file=1).select("path")
+
+
+_add("g1_through_index", _engine_grep, f"WITH {_DOCS} SELECT path FROM docs WHERE contains(text,'License')")
+
+# --- symbols of other languages, lookups, fingerprints, exclusions
+
+
+def _language(ext: str) -> None:
+    rows = " UNION ALL ".join(
+        f"SELECT path, {' || '.join(['fn' if x == '{fn}' else 'ty' if x == '{ty}' else repr(x) for x in re.split('({fn}|{ty})', name) if x])} AS name, CAST({line} AS INTEGER) AS line, '{kind}' AS kind FROM src"
+        for name, line, kind in views.SOURCES[ext][1]
+    )
+    sql = f"WITH src AS (SELECT '/code/p'||CAST(p_partkey AS VARCHAR)||'.{ext}' AS path, replace(p_name,' ','_') AS fn, replace(p_brand,'#','_') AS ty FROM part) {rows}"
+    _add(f"y_extract_{ext}", lambda s, d: symbols.build(views.sources(s, d, ext)), sql)
+
+
+for _ext in views.SOURCES:
+    _language(_ext)
+
+_add("f17_lookup_any_case", lambda s, d: entries.lookup(views.tree(s, d), "/CORPUS/en/SRC1", True).select("path", "is_dir"), f"{_WITH} SELECT path, is_dir FROM ents WHERE lower(path)='/corpus/en/src1'")
+_add("f17_children", lambda s, d: entries.children(views.tree(s, d), "/corpus/en").select("path", "is_dir"), f"{_WITH} SELECT path, is_dir FROM ents WHERE array_to_string(list_slice(string_split(path,'/'),1,len(string_split(path,'/'))-1),'/')='/corpus/en'")
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over files and changed versions of some: as many fingerprints as there are different versions."""
+    held, wanted = _versions(spark, sf_dir)
+    both = symbols.fingerprint(held).select("path", "fingerprint").unionByName(symbols.fingerprint(wanted).select("path", "fingerprint"))
+    return both.groupBy("path").agg(F.count("*").alias("rows"), F.count_distinct("fingerprint").alias("versions"))
+
+
+_add("x7_fingerprints", _fingerprints, f"WITH {_DOCS}, v AS (SELECT path, size FROM docs WHERE doc_id%7<>0 UNION ALL SELECT path, CASE WHEN doc_id%10=0 THEN size+1 ELSE size END FROM docs WHERE doc_id%9<>0) SELECT path, count(*) AS rows, count(DISTINCT size) AS versions FROM v GROUP BY path")
+_PLACED = "CASE CAST(length(path) % 4 AS INT) WHEN 0 THEN '/dev' WHEN 1 THEN '/devices' WHEN 2 THEN '/private/var/vm' ELSE '/Users' END || path"
+_add("src3_exclusions", lambda s, d: views.tree(s, d).select(F.expr(_PLACED.replace("AS INT)", "AS INT)")).alias("path")).where(~entries.excluded(F.col("path"), "/")), f"{_WITH}, p AS (SELECT {_PLACED} AS path FROM ents) SELECT path FROM p WHERE path NOT LIKE '/dev/%' AND path NOT LIKE '/private/var/vm/%'")
+
+# --- windows, summaries, comparisons
+
+
+def _preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.tree(spark, sf_dir).where("is_dir")
+    keyed = df.select("path", F.concat("order_key", entries.order_key(F.array("name"))).alias("key"))
+    return numbering.numbered(spark, keyed, [F.col("key")], "pre").select("path", F.col("pre").cast("int").alias("pre"))
+
+
+_add("w4_preorder", _preorder, f"{_WITH} SELECT path, CAST(row_number() OVER (ORDER BY list_transform(list_append(folders, name), lambda f: '0'||f)) AS INTEGER) AS pre FROM ents WHERE is_dir")
 
 
-_add("w5_path_places", _path_places, f"WITH {_DOCS} SELECT path, CAST(dense_rank() OVER (ORDER BY path) AS INTEGER) AS place FROM docs QUALIFY place <= 100")
 _add("a11_percentiles", lambda s, d: views.content(s, d).agg(F.round(F.percentile("size", F.lit(0.5)), 3).alias("p50"), F.round(F.percentile("size", F.lit(0.9)), 3).alias("p90")), f"WITH {_DOCS} SELECT round(quantile_cont(size, 0.5), 3) AS p50, round(quantile_cont(size, 0.9), 3) AS p90 FROM docs")
 
 
@@ -551,7 +611,7 @@ def _cli(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = symbols.find(symbols.build(views.code(spark, sf_dir)), _code_entries(spark, sf_dir), "sym:brand", "/code", NOW, 1 << 30)
     return cli_lines(found, "symbols")
 
-# --- whole orders and all lines, where o7_name_order, o5_candidate_order, w5_path_places and x13_trimmed_lines show the first
+# --- whole orders and all lines
 
 
 def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import grep as content_search
-from .operators import live, search, symbols
+from .operators import live, postings, search, symbols
+from .plans import regex
 from .plans.query import parse
 
 HITS, FILES, PER_FILE, MOST_FILES = search.LIMIT, content_search.LIMIT, content_search.PER_FILE, content_search.FALLBACK_FILES
@@ -19,7 +20,8 @@ LONGEST_REQUEST, DEEPEST = 1 << 20, 64
 
 @dataclass
 class Engine:
-    """entries: derived; content: (path, size, mtime, text); defs: (path, name, line, kind). now: seconds, for ages."""
+    """entries: derived; content: (path, size, mtime, text); defs: (path, name, line, kind). now: seconds, for ages.
+    index: the folder of a content index, by which grep leaves out files that cannot match."""
 
     spark: SparkSession
     entries: DataFrame
@@ -28,6 +30,7 @@ class Engine:
     root: str = "/"
     home: str = "/"
     now: int | None = None
+    index: str | None = None
 
     def clock(self) -> int:
         return int(time.time()) if self.now is None else self.now
@@ -39,7 +42,18 @@ class Engine:
         return symbols.find(self.defs, self.entries, text, self.root, self.clock(), limit, self.home)
 
     def grep(self, pattern: str, mode: str = "literal", query: str = "", limit: int = FILES, per_file: int = PER_FILE) -> DataFrame:
-        return content_search.grep(self.content, pattern, mode, query, self.clock(), self.root, self.home, limit, per_file)
+        return content_search.grep(self._candidates(pattern, mode), pattern, mode, query, self.clock(), self.root, self.home, limit, per_file)
+
+    def _candidates(self, pattern: str, mode: str) -> DataFrame:
+        """Contents that may match by the index, and those that it doesn't have as they are."""
+        if not self.index or content_search.Grep(pattern, mode).problem():
+            return self.content
+        need, follows = postings.literal_plan(pattern) if mode == "literal" else (regex.regex_need(pattern), {})
+        held = postings.open_index(self.spark, self.index)
+        found = postings.candidates(held, need, follows, pattern if mode == "literal" else "")
+        keys = ["path", "size", "mtime"]
+        known = self.content.join(found.select(keys), keys, "left_semi")
+        return known.unionByName(self.content.join(held["docs"].select(keys), keys, "left_anti").select(known.columns))
 
     def files(self, text: str, most: int = MOST_FILES) -> DataFrame:
         """Paths that a query selects, in order of path."""

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata
-from ..functions.bytesql import sub
+from ..functions.bytesql import fold, fold_text, sub
+from . import manifest
 
 SCHEMA = "path string, is_dir boolean, is_link boolean, hidden boolean, size long, mtime long"
 # What isn't entered when the whole disk is scanned.
@@ -67,6 +68,19 @@ def derive(rows: DataFrame, root: str, home: str | None = None) -> DataFrame:
     return out.withColumn("order_key", order_key(F.col("folders"))).drop("_n")
 
 
+def lookup(entries: DataFrame, path: str, any_case: bool = False) -> DataFrame:
+    """The entry of a path; with any_case, all whose paths differ from it in the case of ASCII letters only."""
+    return entries.where(fold(F.col("path")) == fold_text(path)) if any_case else entries.where(F.col("path") == path)
+
+
+def children(entries: DataFrame, folder: str, name: str | None = None, any_case: bool = False) -> DataFrame:
+    """The entries in a folder, or those of a name there."""
+    inside = entries.where(F.col("parent") == folder)
+    if name is None:
+        return inside
+    return inside.where(fold(F.col("name")) == fold_text(name)) if any_case else inside.where(F.col("name") == name)
+
+
 def folders_of(files: DataFrame, root: str) -> DataFrame:
     """The folders on the way to the files, below the root, as SCHEMA rows of time 0."""
     names = components(F.col("path"), root)
@@ -77,13 +91,20 @@ def folders_of(files: DataFrame, root: str) -> DataFrame:
     return paths.select("path", F.lit(True).alias("is_dir"), F.lit(False).alias("is_link"), dotted.alias("hidden"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
 
 
-def save(entries: DataFrame, folder: str) -> None:
-    """Publish an index; files are clustered by path so that scopes skip most of them."""
-    entries.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(folder)
+def save(entries: DataFrame, folder: str, build: str | None = None) -> None:
+    """Publish an index as a new version: written aside, clustered by path so that scopes skip most files, and seen by
+    readers only when its line is in the manifest. build: a name that tables made from this index must agree with."""
+    name = manifest.new_name()
+    entries.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{folder.rstrip('/')}/{name}")
+    manifest.publish(entries.sparkSession, folder, lambda _: [{"name": name}], build)
 
 
-def load(spark: SparkSession, folder: str, schema=None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(folder)
+def load(spark: SparkSession, folder: str, schema=None, build: str | None = None) -> DataFrame:
+    """The published index; without one, or with one of another build, an empty frame of the schema."""
+    parts = manifest.read(spark, folder, build)
+    if not parts:
+        return spark.createDataFrame([], schema if schema is not None else SCHEMA)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{folder.rstrip('/')}/{parts[-1]['name']}")
 
 
 def refresh(old: DataFrame, dirty: DataFrame, trees: DataFrame, listed: DataFrame) -> DataFrame:

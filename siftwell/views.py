@@ -61,3 +61,21 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     path = F.concat(F.lit("/live/u"), F.col("user_id").cast("string"), F.lit("/f"), (F.col("event_id") % 50).cast("string"), F.lit(".txt"))
     return events.select("event_id", path.alias("path"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), (F.col("event_id") % 4096).cast("long").alias("size"))
+
+
+#: Generated sources by language: what comes before and after the two names, and the symbols as (name, line, kind).
+SOURCES = {
+    "c": ("#define {ty} 1\nstruct {fn} {{ int x; }};\nstatic int get_{fn}(int a) {{\n  return a;\n}}\n", (("{ty}", 1, "macro"), ("{fn}", 2, "type"), ("get_{fn}", 3, "fn"))),
+    "js": ("function {fn}() {{}}\nconst do_{fn} = async (x) => x\nclass {ty} {{ static run() {{ }} }}\n", (("{fn}", 1, "fn"), ("do_{fn}", 2, "fn"), ("{ty}", 3, "type"), ("run", 3, "fn"))),
+    "rs": ("fn {fn}() {{ let c: &'a str = \"fn no()\"; }}\nstruct {ty};\nconst K_{fn}: u8 = 1;\n", (("{fn}", 1, "fn"), ("{ty}", 2, "type"), ("K_{fn}", 3, "const"))),
+    "go": ("func (r *R) {fn}() {{}}\ntype (\n {ty} struct {{ x int }}\n T_{fn} int\n)\n", (("{fn}", 1, "fn"), ("{ty}", 3, "type"), ("T_{fn}", 4, "type"))),
+}
+
+
+def sources(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """Generated sources of a language."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    shape = SOURCES[ext][0].replace("{{", "{").replace("}}", "}")
+    text = F.replace(F.replace(F.lit(shape), F.lit("{fn}"), F.translate("p_name", " ", "_")), F.lit("{ty}"), F.translate("p_brand", "#", "_"))
+    path = F.concat(F.lit("/code/p"), F.col("p_partkey").cast("string"), F.lit(f".{ext}"))
+    return part.select(path.alias("path"), text.alias("text"), F.octet_length(text).cast("long").alias("size"), F.lit(NOW).cast("long").alias("mtime"))
