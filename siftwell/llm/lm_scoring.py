@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from . import shared, words
 from .words import mix, pair
 
-BEGIN, END = np.uint64(words.word_hash("\x00begin")), np.uint64(words.word_hash("\x00end"))
+#: Two numbers for the begin and the end of a text. Words are known by hashes, which meet neither of the two but by chance.
+BEGIN, END = np.uint64(1), np.uint64(2)
 #: Token pairs that a worker counts before it sends them.
 FLUSH = 3_000_000
 #: Bytes of documents for which one shard is made.
@@ -230,12 +231,13 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 def train(spark: SparkSession, docs: DataFrame, text: str = "text") -> dict:
     """Fit on all rows of docs. The model: its folder, number of shards, totals and discounts."""
     column = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = shared.power_of_two(shared.frame_bytes(docs, text) / SHARD_BYTES, 8, 1 << 16)
+    shards = shared.power_of_two(shared.frame_bytes(docs, text) / SHARD_BYTES, 8)
     folder = shared.shared_dir(spark, "ngrams")
     hot = frequent(column, shards)
     blocks = column.mapInArrow(_count(shards, hot), "shard int, block binary")
-    pairs = blocks.groupBy("shard").applyInArrow(_pair_shard(folder, shards, hot), "shard int, block binary, n1 long, n2 long, n3 long, n4 long")
-    totals = pairs.groupBy("shard").applyInArrow(_word_shard(folder), ", ".join(f"{k} long" for k in STATS))
+    # a task for each shard: how many are in one doesn't hang on the session
+    pairs = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_pair_shard(folder, shards, hot), "shard int, block binary, n1 long, n2 long, n3 long, n4 long")
+    totals = pairs.repartition(shards, "shard").groupBy("shard").applyInArrow(_word_shard(folder), ", ".join(f"{k} long" for k in STATS))
     row = totals.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in STATS)).first()
     model = {k: int(row[k]) for k in STATS} | {"folder": folder, "shards": shards, "hot": hot}
     return model | {"d2": discounts(*(model[f"n{i}"] for i in (1, 2, 3, 4))), "d1": discounts(*(model[f"m{i}"] for i in (1, 2, 3, 4)))}
@@ -280,11 +282,8 @@ class Model:
         return at, hit
 
     def _by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        shards = self.meta["shards"]
-        cuts = np.searchsorted(keys >> self.bits, np.arange(shards + 1, dtype=np.uint64))
-        for k in range(shards):
-            if cuts[k] < cuts[k + 1]:
-                yield k, cuts[k], cuts[k + 1]
+        shard, at = np.unique(keys >> self.bits, return_index=True)
+        yield from zip(shard.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True)
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted keys."""
