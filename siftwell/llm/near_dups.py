@@ -12,10 +12,11 @@ Signatures are banded. Texts with the same words are one node from the start, so
 later. A bucket's pivot is the member that meets most others over all bands: among near copies, the
 text they were made from. Nodes are compared with their buckets' pivots, the one they share most bands
 with first. Buckets that still hold several classes are then compared across classes (not within), so
-that no link found by banding is lost and no group is expanded into its pairs; in large buckets this
-is done block by block on small sketches of the signatures, and only pairs that may be similar leave
-the block. Links are decided on the shingles themselves (as 32-bit hashes). Classes are connected components, found with large-star and small-star steps, each stored
-in the shared folder.
+that no link found by banding is lost and no group is expanded into its pairs. Large buckets are cut
+into blocks, which hold their members' shingles: small sketches of the signatures tell which pairs may
+be similar, the shingles decide, and only links that join classes leave the block, fewer than it has
+members. Links are always decided on the shingles themselves (as 32-bit hashes). Classes are connected
+components, found with large-star and small-star steps, each stored in the shared folder.
 
 Cases: null texts and texts without words are classes of their own; equal texts are one class, also
 under one doc_id; a class is named by its least doc_id (null only if all are null); an empty table
@@ -43,10 +44,12 @@ COORDINATES = BANDS * ROWS
 THROW = 48
 #: Bits of the filter that spares most texts a second reading; 2 MB, whatever the corpus.
 FILTER_BITS = 1 << 24
-#: Buckets up to this size are compared by a join, larger ones in blocks of so many members.
-SMALL, BLOCK = 16, 1024
-#: Standard deviations below the wanted similarity at which a sketch still counts.
-SLACK = 3.5
+#: Buckets up to this size are compared by a join, larger ones in blocks of about so many members and shingles at most.
+SMALL, BLOCK, MASS = 16, 1024, 4 << 20
+#: Standard deviations below the wanted similarity at which a sketch still counts; a link is missed once in a thousand million times.
+SLACK = 6.0
+#: A key that holds more than one in so many of all rows is joined by broadcast: there are fewer of them than this.
+HOT = 256
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 24)])))
 
 
@@ -205,33 +208,45 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _across(similarity: float):
-    """Pairs of a block (or of two) in different classes whose sketches agree enough, in the first band they share."""
+    """Links of a block (or between two) that join its classes, each pair looked at in the first band it shares."""
     chance = similarity + (1 - similarity) / 16
     least = (chance - SLACK * np.sqrt(chance * (1 - chance) / COORDINATES)) * COORDINATES
 
     def run(table: pa.Table) -> pa.Table:
         shared.single_threaded()
         get = lambda k: np.asarray(table[k])
-        node, weight, label, own = get("node"), get("weight"), get("label"), get("own")
+        node, weight, own = get("node"), get("weight"), get("own")
+        group = np.unique(get("label"), return_inverse=True)[1]
         two = table["low"][0].as_py() != table["high"][0].as_py()
         packed = np.frombuffer(b"".join(x.as_py() for x in table["sketch"]), np.uint8).reshape(len(node), -1)
         marks = np.ascontiguousarray(packed[:, COORDINATES // 2 :]).view(np.uint32)
         packed = packed[:, : COORDINATES // 2]
         here = int(np.argmax(marks[0] == np.uint32(table["band"][0].as_py() & 0xFFFFFFFF)))
+        blobs, texts = table["grams"], {}
+
+        def text(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in texts:
+                texts[i] = _open(blobs[i].as_py())
+            return texts[i]
+
         left, right = [], []
         high, low = packed >> 4, packed & 15
         for i in range(len(node) - 1):
-            rest = np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(weight[i + 1 :], weight[i]) >= similarity * np.maximum(weight[i + 1 :], weight[i]))) + i + 1
+            rest = np.flatnonzero((group[i + 1 :] != group[i]) & (np.minimum(weight[i + 1 :], weight[i]) >= similarity * np.maximum(weight[i + 1 :], weight[i]))) + i + 1
             if two:
                 rest = rest[own[rest] != own[i]]
-            if len(rest):
-                same = (high[rest] == high[i]).sum(1) + (low[rest] == low[i]).sum(1)
-                good = rest[same >= least]
-                good = good[np.argmax(marks[good] == marks[i], axis=1) == here]
-                left.append(np.maximum(node[good], node[i]))
-                right.append(np.minimum(node[good], node[i]))
-        ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
-        return pa.table([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
+            if not len(rest):
+                continue
+            same = (high[rest] == high[i]).sum(1) + (low[rest] == low[i]).sum(1)
+            good, same = rest[same >= least], same[same >= least]
+            first = np.argmax(marks[good] == marks[i], axis=1) == here
+            good, same = good[first], same[first]
+            for j in good[np.argsort(-same, kind="stable")].tolist():
+                if group[j] != group[i] and jaccard(text(i), text(j)) >= similarity:
+                    left.append(max(node[i], node[j]))
+                    right.append(min(node[i], node[j]))
+                    group[group == group[j]] = group[i]
+        return pa.table([pa.array(e, pa.int64()) for e in (left, right)], names=["a", "b"])
 
     return run
 
@@ -270,18 +285,27 @@ def _filter(spark: SparkSession, ids: DataFrame):
     return spark.sparkContext.broadcast(bits)
 
 
+def _keyed(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with table's row for their key; table is a stored frame with one row a key, n how many of rows hold it.
+    Keys with a large share of the rows stay where they are, so that none of them lands in one task."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = table.where(F.col(n) * HOT > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) * HOT <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node), node null without words; and nodes (node, rep, label, class_id), rep its least doc_id."""
+    """Rows (doc_id, node), node null without words; and nodes (node, rep, copies, label, class_id, class_size), rep its least doc_id."""
     ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
     signed = shared.stored(spark, ids.mapInArrow(_sign, f"doc_id {kind}, wordless byte, node long, weight long, bands array<long>, sketch binary"), "signed")
-    nodes = shared.stored(spark, signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = shared.stored(spark, signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     rows = nodes.select("node", "weight", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = shared.stored(spark, rows.join(buckets, "band").select("band", "node", "weight", "n"), "met")
+    buckets = shared.stored(spark, rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = shared.stored(spark, _keyed(rows, buckets, "band", "n").select("band", "node", "weight", "n"), "met")
     degrees = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    pivots = met.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
-    members = shared.stored(spark, met.join(pivots, "band").select("band", "node", "pivot", "weight", "n"), "members")
+    pivots = met.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"), F.count("*").alias("n"))
+    members = shared.stored(spark, _keyed(met.drop("n"), shared.stored(spark, pivots, "pivots"), "band", "n").select("band", "node", "pivot", "weight", "n"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     bits = _filter(spark, wanted.select("rep"))
     slotted = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"), "text")
@@ -297,13 +321,14 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     tried = shared.stored(spark, links(first), "links")
     labels = shared.stored(spark, components(spark, tried.where(F.col("similarity") >= similarity).select("a", "b")), "labels")
 
-    def joined(pairs: DataFrame) -> DataFrame:
-        """Compare pairs (a > b) that haven't been; the links and the labels with them."""
+    def joined(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Compare pairs (a > b) that haven't been; the labels with the links found and those known."""
         nonlocal tried
         done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = shared.stored(spark, links(pairs.join(done, ["a", "b"], "left_anti")), "links")
         tried = tried.unionByName(more)
         found = more.where(F.col("similarity") >= similarity).select("a", "b")
+        found = found if known is None else found.unionByName(known)
         if not found.take(1):
             return labels
         return shared.stored(spark, components(spark, found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
@@ -316,33 +341,33 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     labels = joined(apart.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
     # buckets that still hold several classes: compare across classes
     at = members.join(labels, "node", "left").select("band", "node", "weight", "n", F.coalesce("label", "node").alias("label"))
-    mixed = at.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    at = shared.stored(spark, at.join(mixed, "band", "left_semi"), "mixed")
+    mixed = at.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("weight").alias("mass")).where("low <> high").select("band", "n", "mass")
+    at = shared.stored(spark, _keyed(at.drop("n"), shared.stored(spark, mixed, "apart"), "band", "n"), "mixed")
     small = at.where(F.col("n") <= SMALL)
     other = small.select("band", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
     cross = small.select("band", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")).join(other, "band")
     # a weighted Jaccard similarity is at most the quotient of the weights
     cross = cross.where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("wa", "wb") >= F.greatest("wa", "wb") * similarity)).select("a", "b")
-    large = at.where(F.col("n") > SMALL).join(nodes.select("node", "sketch"), "node")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = at.where(F.col("n") > SMALL).join(nodes.select("node", "sketch"), "node").join(grams, "node")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("mass") / MASS)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = large.select("band", "node", "weight", "label", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = large.select("band", "node", "weight", "label", "sketch", "grams", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
     blocks = dealt.groupBy("band", "low", "high").applyInArrow(_across(similarity), "a long, b long")
-    labels = joined(cross.unionByName(blocks).distinct())
+    labels = joined(cross.distinct(), shared.stored(spark, blocks.distinct(), "blocks"))
     # a class's name and size
-    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    names = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    return signed, named.join(names, "label")
+    named = nodes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = shared.stored(spark, named, "named")
+    names = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes"))
+    return signed, shared.stored(spark, _keyed(named, shared.stored(spark, names, "names"), "label", "nodes").drop("nodes"), "classes")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size of every row of docs."""
     signed, nodes = classes(spark, docs, similarity)
-    placed = signed.where("node is not null").select("doc_id", "node").join(nodes.select("node", "class_id", "label"), "node")
-    sizes = placed.groupBy("label").agg(F.count("*").alias("class_size"))
+    placed = _keyed(signed.where("node is not null").select("doc_id", "node"), nodes.select("node", "copies", "class_id", "class_size"), "node", "copies")
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return placed.join(sizes, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
+    return placed.select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def _nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +381,7 @@ def clean(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY)
     """One row of each class, that of its least doc_id, with all columns as they were."""
     signed, nodes = classes(spark, docs, similarity)
     if not signed.groupBy("doc_id").count().where("count > 1").take(1):
-        copies = signed.where("node is not null").join(nodes.select("node", "rep", "class_id"), "node").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"))
+        copies = _keyed(signed.where("node is not null").select("doc_id", "node"), nodes.select("node", "copies", "class_id"), "node", "copies").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"))
         return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     # ids that repeat don't tell rows apart: go by the texts' words
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
