@@ -338,6 +338,48 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("l4_deleted_tree", _trees, f"{_STATE} SELECT path FROM f WHERE op='upsert' AND path NOT LIKE '/live/u1/%'")
 _add("l7_ignored", lambda s, d: views.changes(s, d).where(~entries.under(F.col("path"), "/live/u2")).select("event_id"), f"WITH {_CHANGES} SELECT event_id FROM ch WHERE path NOT LIKE '/live/u2/%'")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes appended in parts, in any order, with a compaction in between."""
+    from .streaming.live import Table
+
+    table, changes = Table(spark, storage.shared_dir(spark, "live")), views.changes(spark, sf_dir)
+    for k in (2, 0, 3, 1):
+        table.append(changes.where(F.col("event_id") % 4 == k))
+        if k == 0:
+            table.compact()
+    return table.rows().select("event_id", "path", "size")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of changes followed as a stream of micro-batches."""
+    from .streaming import live as stream
+
+    at = storage.shared_dir(spark, "log")
+    views.changes(spark, sf_dir).repartition(4, "event_id").write.json(f"{at}/log")
+    table = stream.Table(spark, f"{at}/table")
+    query = stream.follow(stream.read_log(spark, f"{at}/log"), table, f"{at}/checkpoint", ["/live/u2"], once=True)
+    query.awaitTermination()
+    return table.rows().select("event_id", "path", "size")
+
+
+def _kept_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half the files, then brought up to date with files of which some are newer."""
+    folder, docs = storage.shared_dir(spark, "upkeep"), views.content(spark, sf_dir)
+    postings.sync(spark, folder, docs.where("doc_id % 2 = 0"))
+    now = docs.withColumn("mtime", F.when(F.col("doc_id") % 6 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    again = postings.sync(spark, folder, now)
+    return postings.open_index(spark, folder)["docs"].select("path", "mtime", F.lit(again).cast("long").alias("indexed"))
+
+
+_add("l9_compaction", _compacted, f"{_STATE} SELECT event_id, path, size FROM f WHERE op='upsert'")
+_add("l3_micro_batches", _streamed, f"{_STATE} SELECT event_id, path, size FROM f WHERE op='upsert' AND path NOT LIKE '/live/u2/%'")
+_add(
+    "l11_content_upkeep",
+    _kept_content,
+    f"WITH {_DOCS} SELECT path, CASE WHEN doc_id % 6 = 0 THEN mtime + 1 ELSE mtime END AS mtime, (SELECT count(*) FILTER (doc_id % 2 = 1 OR doc_id % 6 = 0) FROM docs) AS indexed FROM docs",
+)
 _add(
     "l6_unknown_folder",
     lambda s, d: live.known_folders(views.tree(s, d).where("NOT is_dir").select(F.concat("path", F.lit("/x/y")).alias("path")), views.tree(s, d).where("is_dir")),

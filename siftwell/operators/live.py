@@ -21,12 +21,15 @@ def sync_diff(held: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return both.select("path", action.alias("action"))
 
 
-def merge(state: DataFrame, changes: DataFrame) -> DataFrame:
+def folded(rows: DataFrame) -> DataFrame:
     """The last change of each kind for a path; neither order nor repetition of the changes matters."""
-    rows = state.unionByName(changes.select(*state.columns))
     return rows.groupBy("path", "op").agg(F.max_by(F.struct(*rows.columns), "event_id").alias("r")).select("r.*")
 
 
+def merge(state: DataFrame, changes: DataFrame) -> DataFrame:
+    return folded(state.unionByName(changes.select(*state.columns)))
+
+
 def ancestors(path: Column) -> Column:
     """The folders above a path."""
     n = F.size(F.split(path, "/"))
@@ -42,6 +45,13 @@ def current(state: DataFrame) -> DataFrame:
     return rows.join(dead, "path", "left_anti").drop("op")
 
 
+def compacted(rows: DataFrame, horizon: int) -> DataFrame:
+    """What of rows later changes still depend on: the rows that live, and deletions after the event horizon."""
+    state = folded(rows)
+    alive = current(state).withColumn("op", F.lit("upsert")).select(*rows.columns)
+    return alive.unionByName(state.where((F.col("op") != "upsert") & (F.col("event_id") > horizon)))
+
+
 def apply(state: DataFrame, changes: DataFrame) -> DataFrame:
     """state (path, event_id, ...) after changes (path, op, event_id, ...): upserts, deletes, and deleted trees."""
     return current(merge(state.withColumn("op", F.lit("upsert")), changes)).select(*state.columns)

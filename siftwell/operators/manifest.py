@@ -56,6 +56,14 @@ def read(spark: SparkSession, folder: str, build: str | None = None) -> list[dic
     return []
 
 
+def parts_of(spark: SparkSession, folder: str, version: int) -> list[dict]:
+    """The parts that one version names; none if it can't be read whole."""
+    try:
+        return json.loads(_text(spark, folder, version)).get("parts", [])
+    except ValueError:
+        return []
+
+
 def version(spark: SparkSession, folder: str) -> int:
     """The newest version, 0 for none: what readers compare to know that a table changed."""
     return max(_versions(spark, folder), default=0)

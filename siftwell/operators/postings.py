@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.bytesql import bytes_text, fold_text
 from ..plans.regex import Need, literal_need
 from . import manifest
+from .live import segments_to_merge
 
 FOLLOW = 7
 #: Lengths of the grams in a document's Bloom filter, bits for each gram, and places that a gram sets.
@@ -234,6 +235,19 @@ def merge_segments(spark: SparkSession, folder: str, which: list[int]) -> None:
     manifest.publish(spark, folder, merged)
 
 
+def sync(spark: SparkSession, folder: str, content: DataFrame) -> int:
+    """Index those of content (doc_id, path, size, mtime, text) that the index doesn't have as they are, then merge
+    segments that are due. How many were indexed."""
+    keys = ["path", "size", "mtime"]
+    new = content.join(open_index(spark, folder)["docs"].select(*keys), keys, "left_anti").select("doc_id", "path", "size", "mtime", "text")
+    count = new.count()
+    if count:
+        add_segment(spark, folder, new)
+    while which := segments_to_merge([p["bytes"] for p in manifest.read(spark, folder)]):
+        merge_segments(spark, folder, which)
+    return count
+
+
 def candidates(index: dict[str, DataFrame], need: Need, follows: dict[str, int] | None = None, literal: str = "") -> DataFrame:
     """(doc_id, path, size, mtime) of current documents that may match; Bloom filters are asked about literals they know."""
     docs = index["docs"]

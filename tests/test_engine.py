@@ -244,6 +244,48 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, table.rows().select("event_id", "path", "size").collect())) == wanted
 
 
+def test_table_of_parts(spark, tmp_path):
+    table = stream.Table(spark, f"file://{tmp_path}/parts")
+    rows = lambda: sorted((r.path, r.event_id) for r in table.rows().collect())
+    add = lambda *x: table.append(spark.createDataFrame([*x], stream.CHANGES))
+    assert rows() == [] and not table.compact() and not table.due() and table.version() == 0
+    add((1, "/a/b", "upsert", 5), (2, "/a/c", "upsert", 6))
+    add((9, "/a", "tree", 0), (10, "/a/d", "upsert", 1))
+    assert rows() == [("/a/d", 10)] and table.version() == 2
+    assert table.compact() and rows() == [("/a/d", 10)]
+    assert sorted(r.op for r in table.read().collect()) == ["tree", "upsert"]
+    add((3, "/a/b", "upsert", 7))  # late: the tree was deleted since
+    add((11, "/a/b", "upsert", 8), (11, "/a/b", "upsert", 8))
+    assert rows() == [("/a/b", 11), ("/a/d", 10)]
+    # no deletion is older than the newest event by more than one: the tree's goes, and what is older is too late
+    assert table.compact(late=1) and {r.op for r in table.read().collect()} == {"upsert"}
+    add((4, "/a/z", "upsert", 1), (12, "/b", "upsert", 1))
+    assert rows() == [("/a/b", 11), ("/a/d", 10), ("/b", 12)]
+    add()
+    for k in range(8):
+        add((20 + k, "/many", "upsert", k))
+    assert table.tidy() and rows()[-1] == ("/many", 27) and len(table.parts()) < 9
+    # another writer took a part first: nothing is lost
+    old = table.parts()
+    part = table._write(live.folded(table._all(old)), horizon=stream.NEVER)
+    add((40, "/late", "upsert", 1))
+    assert table._replace(old, part) and ("/late", 40) in rows()
+    assert not table._replace(old, part)
+    held = rows()
+    assert table.vacuum(3600) == 0 and table.vacuum(-60) > 0 and rows() == held
+
+
+def test_content_upkeep(spark, tmp_path):
+    folder, log = f"file://{tmp_path}/index", tmp_path / "log"
+    docs = spark.createDataFrame([(i, f"/f{i}", 5, 1, "hello") for i in range(4)], "doc_id long, path string, size long, mtime long, text string")
+    spark.createDataFrame([(1, "/f1", "upsert", 5), (2, "/f2", "delete", 0)], stream.CHANGES).write.json(str(log))
+    contents = lambda paths: docs.join(paths, "path", "left_semi").select(docs.columns)
+    stream.follow_content(stream.read_log(spark, str(log)), folder, contents, str(tmp_path / "ck"), once=True).awaitTermination(120)
+    assert [r.path for r in postings.open_index(spark, folder)["docs"].collect()] == ["/f1"]
+    assert postings.sync(spark, folder, docs) == 3 and postings.sync(spark, folder, docs) == 0
+    assert postings.open_index(spark, folder)["docs"].count() == 4
+
+
 def test_segments_and_compaction():
     assert live.segments_to_merge([5] * 8) == list(range(8))
     assert live.segments_to_merge([5] * 6) == [] and live.segments_to_merge([9, 1, 2, 8 << 10, 9 << 12, 9 << 14, 9 << 16]) == [1, 2]
