@@ -68,9 +68,12 @@ def example(seed=1):
     return docs
 
 
-def test_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("block, mass, hot", [(16, 1 << 22, 256), (1024, 2000, 2)])
+def test_against_all_pairs(spark, monkeypatch, block, mass, hot):
     monkeypatch.setattr(near_dups, "SMALL", 4)
-    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "MASS", mass)
+    monkeypatch.setattr(near_dups, "HOT", hot)
     docs = example()
     df = spark.createDataFrame([(*d, "x") for d in docs], SCHEMA).repartition(4)
     texts = Counter(docs)
