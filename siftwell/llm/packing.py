@@ -7,7 +7,8 @@ from below how many bins a partition needs; where that many are used, the partit
 only its emptiest bin may still take in more. Partitions with a gap release the emptier half of their
 bins. The released documents are dealt anew (to fewer partitions, by another hash) and packed again; the
 new bins count only if they are fewer, so that an exchange never does harm. It ends when one doesn't
-help, when one partition holds all, or after ROUNDS.
+help or when one partition holds all. Pieces are dealt by their place, not by what they hold, so that
+repeated rows spread.
 
 Only lengths travel: a row of three numbers for a piece. Cases: a null or empty text is one token
 (id 0); equal documents and repeated rows are packed as often as they occur; an empty table gives no
@@ -17,6 +18,7 @@ pieces; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,6 @@ from . import shared, words
 
 CAPACITY = 2048
 PART_ROWS = 50_000
-ROUNDS = 4
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -148,26 +149,26 @@ def _pack(capacity: int):
     return run
 
 
-def pack(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int | None = None) -> DataFrame:
     """Pieces with sequence_id and offset. cut: a stored frame of pieces."""
-    full = cut.where(F.col("length") == capacity).select("*", F.xxhash64("doc_id", "piece").alias("_h"))
-    base = 1 << 40
-    out = full.select(*(x.split()[0] for x in PIECES.split(", ")), (F.lit(base << 22) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = cut.where(F.col("length") == capacity)
+    out = full.select(*(x.split()[0] for x in PIECES.split(", ")), (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     columns = [*(x.split()[0] for x in PIECES.split(", ")), "sequence_id", "offset"]
     pool, held, bins = cut.where(F.col("length") < capacity), None, None
-    n = pool.count()
-    for turn in range(rounds):
+    n, base = pool.count(), 0
+    for turn in itertools.count() if rounds is None else range(rounds):
         if not n:
             break
+        place = ["sequence_id", "offset"] if turn else [F.monotonically_increasing_id()]
         parts = max(1, -(-n // part_rows))
-        dealt = pool.select(*columns[:-2], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).alias("part"))
+        dealt = pool.select(*columns[:-2], F.pmod(F.xxhash64(*place, F.lit(turn)), F.lit(parts)).alias("part"))
         packed = shared.stored(spark, dealt.groupBy("part").applyInArrow(_pack(capacity), PACKED), "packed")
-        number = F.lit(turn << 58) + F.shiftleft(F.col("part"), 26) + F.col("bin")
+        number = F.lit(base) + F.shiftleft(F.col("part"), 26) + F.col("bin")
         placed = packed.select(*columns[:-2], number.alias("sequence_id"), "offset", "done")
         used = placed.agg(F.count_distinct("sequence_id").alias("all"), F.count_distinct(F.when(~F.col("done"), F.col("sequence_id"))).alias("open"), F.count_if(~F.col("done")).alias("rows")).first()
         if bins is not None and used["all"] >= bins:
             break  # no better than before
-        out = out.unionByName(placed.where("done").select(*columns))
+        out, base = out.unionByName(placed.where("done").select(*columns)), base + (parts << 26)
         pool = held = placed.where("NOT done")
         n, bins = used["rows"], used["open"]
         if parts == 1:
