@@ -373,19 +373,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
 def _nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared.single_threaded()
     for rb in words.batches(rows, "text"):
-        out = [pa.array(_same_words(h, o).view(np.int64), mask=np.diff(o) == 0) for _, h, o in words.texts_words(rb.column(rb.schema.get_field_index("text")), words.ALNUM)]
-        yield pa.RecordBatch.from_arrays([*rb.columns, pa.concat_arrays(out)], [*rb.schema.names, "_node"])
+        out = [pa.array(_same_words(h, o).view(np.int64), mask=np.diff(o) == 0) for _, h, o in words.texts_words(rb.column(0), words.ALNUM)]
+        columns = [*rb.columns[1:], pa.concat_arrays(out)]
+        yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
 
 def clean(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, that of its least doc_id, with all columns as they were."""
     signed, nodes = classes(spark, docs, similarity)
+    columns = [shared.quoted(c) for c in docs.columns]
+    node, own = shared.fresh(docs.columns, "node", "least")
     if not signed.groupBy("doc_id").count().where("count > 1").take(1):
-        copies = _keyed(signed.where("node is not null").select("doc_id", "node"), nodes.select("node", "copies", "class_id"), "node", "copies").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"))
-        return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    # ids that repeat don't tell rows apart: go by the texts' words
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.mapInArrow(_nodes, f"{kinds}, _node long")
-    stays = nodes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("node"))).alias("s")).select(F.col("s.node").alias("_node"), F.col("s.rep").alias("_id"))
-    kept = rows.join(stays, "_node").where(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_node").agg(F.first(F.struct(*docs.columns)).alias("r"))
-    return kept.select("r.*").unionByName(rows.where("_node is null").select(*docs.columns))
+        copies = _keyed(signed.where("node is not null").select("doc_id", "node"), nodes.select("node", "copies", "class_id"), "node", "copies").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(own))
+        return docs.join(copies, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+    # ids that repeat don't tell rows apart: go by the texts' words. Equal rows are one before they are dealt
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *(c.alias(f"c{i}") for i, c in enumerate(columns)))
+    rows = rows.mapInArrow(_nodes, shared.with_fields(docs, docs.columns, (node, "long")))
+    stays = nodes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("node"))).alias("s")).select(F.col("s.node").alias("stays"), F.col("s.rep").alias(own))
+    single = rows.where(F.col(node).isNotNull()).groupBy(node, "doc_id").agg(F.first(F.struct(*columns)).alias("row"))
+    kept = single.join(stays, (F.col(node) == F.col("stays")) & F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    return kept.select("row.*").unionByName(rows.where(F.col(node).isNull()).select(*columns))

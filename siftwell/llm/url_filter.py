@@ -229,18 +229,18 @@ def _ratio(model: dict):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.single_threaded()
         markov = Markov(model)
-        for rb in words.batches(rows, "_url", 1 << 20):
-            i = rb.schema.get_field_index("_url")
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(rb.columns) if k != i), pa.array(markov.ratios(rb.column(i)))], [*(n for n in rb.schema.names if n != "_url"), "ratio"])
+        for rb in words.batches(rows, "url", 1 << 20):
+            columns = [*rb.columns[1:], pa.array(markov.ratios(rb.column(0)))]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     return run
 
 
 def score(urls: DataFrame, model: dict) -> DataFrame:
-    """urls with a column ``ratio``; the models read a host and path. model: what train() returns."""
-    df = urls.withColumn("_url", F.coalesce("url", F.lit("")))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
-    return df.mapInArrow(_ratio(model), f"{kinds}, ratio double")
+    """urls with a column ``ratio`` (underscores follow where there is one); the models read a host and path. model: what train() returns."""
+    (name,) = shared.fresh(urls.columns, "ratio")
+    rows = urls.select(F.coalesce("url", F.lit("")).alias("url"), *(shared.quoted(c).alias(f"c{i}") for i, c in enumerate(urls.columns)))
+    return rows.mapInArrow(_ratio(model), shared.with_fields(urls, urls.columns, (name, "double")))
 
 
 def marked(spark: SparkSession, judged: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:

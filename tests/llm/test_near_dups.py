@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 from siftwell.llm import near_dups
 
@@ -99,6 +100,17 @@ def test_one_of_each_class_stays(spark, repeated):
     assert all((r["doc_id"], r["text"]) in set(docs) for r in rows)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_columns_of_any_name_stay(spark, repeated):
+    names = ["doc_id", "text", "node", "least", "_gone", "_node", "row", "stays", "class_id", "a.b", "c`d"]
+    texts = ["one two three four five six", "One, two three four five six!", None, "seven"]
+    rows = [(i % 3 if repeated else i, t, *(f"{n}{i}" for n in names[2:])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField(n, T.LongType() if n == "doc_id" else T.StringType()) for n in names]))
+    kept = near_dups.clean(spark, df)
+    assert kept.columns == names
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((rows[i] for i in (0, 2, 3)), key=str)
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(3)
     element = r.integers(0, 1 << 62, 80).astype(np.uint64)
