@@ -681,3 +681,113 @@ _add("o7_all_names", _all_names, f"{_WITH} SELECT path, row_number() OVER (ORDER
 _add("o5_all_candidates", _all_candidates, f"WITH {_DOCS}, r AS (SELECT path, mtime, CAST(CASE WHEN contains(path,'/.') THEN -2 ELSE 0 END - CASE WHEN regexp_matches(path,'\\.(jsonl|ndjson|log|lock|sum)$') THEN 1 ELSE 0 END AS INTEGER) AS rank FROM docs) SELECT path, rank, row_number() OVER (ORDER BY rank DESC, mtime DESC, path) AS ord FROM r")
 _add("w5_all_places", _all_places, f"WITH {_DOCS} SELECT path, dense_rank() OVER (ORDER BY path) AS place FROM docs")
 _add("x13_all_lines", _all_lines, "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), f AS (SELECT doc_id, n, rtrim(ls[n], ' '||chr(9)||chr(13)) AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM s)) SELECT doc_id, n, CASE WHEN strlen(l) <= 200 THEN l ELSE list_max(list_filter(list_transform(range(1,201), lambda i: substr(l,1,CAST(i AS BIGINT))), lambda s: strlen(s) <= 200)) END AS line FROM f")
+
+# --- listings, copies and priors of folders
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders listed again: of their files some are gone, some grown, some new."""
+    held = views.tree(spark, sf_dir)
+    folders = held.where("is_dir AND name LIKE 'src%'").select("path")
+    now = held.where("NOT is_dir").join(folders.select(F.col("path").alias("parent")), "parent", "left_semi")
+    fresh = now.where("mtime % 7 = 0").withColumn("path", F.concat("path", F.lit(".new")))
+    now = now.where("mtime % 9 <> 0").withColumn("size", F.when(F.col("mtime") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return live.listing_diff(held, folders, now.unionByName(fresh))
+
+
+_add("j8_folder_listings", _listed, f"WITH {_DOCS} SELECT path || '.new' AS path, 'new' AS change FROM docs WHERE mtime%7=0 UNION ALL SELECT path, CASE WHEN mtime%9=0 THEN 'gone' ELSE 'changed' END FROM docs WHERE mtime%9=0 OR mtime%5=0")
+
+
+def _reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = views.tree(spark, sf_dir).where("is_dir")
+    return entries.reread(folders, spark.createDataFrame([("/corpus/en/src1",)], "path string"), spark.createDataFrame([("/corpus/de",)], "path string"))
+
+
+_add("j11_copied_or_reread", _reread, f"{_WITH} SELECT path, path='/corpus/en/src1' OR path='/corpus/de' OR path LIKE '/corpus/de/%' AS reread FROM ents WHERE is_dir")
+
+
+def _nearest_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in folders that the index doesn't have take the prior of the nearest one above that it has."""
+    df = views.tree(spark, sf_dir)
+    paths = df.where("NOT is_dir").select(F.concat("path", F.lit("/x/node_modules/y.txt")).alias("path"))
+    paths = paths.unionByName(spark.createDataFrame([("/nowhere/a.txt",)], "path string"))
+    return live.nearest(paths, entries.folder_priors(df, ROOT), "prior").select("path", F.coalesce(F.col("prior").cast("int"), F.lit(0)).alias("prior"))
+
+
+_add("j12_nearest_prior", _nearest_priors, f"{_WITH} SELECT path || '/x/node_modules/y.txt' AS path, CAST(prior AS INTEGER) AS prior FROM ents WHERE NOT is_dir UNION ALL SELECT '/nowhere/a.txt', 0")
+
+# --- masks and hex names
+
+_HELD = "CASE WHEN c BETWEEN 'a' AND 'z' THEN ascii(c)-97 WHEN c BETWEEN '0' AND '9' THEN ascii(c)-22 WHEN c='.' THEN 36 WHEN c='-' OR c='_' THEN 37 WHEN c=' ' THEN 38 WHEN ascii(c)>127 THEN 39 ELSE 40 END"
+_add(
+    "x4_masks",
+    lambda s, d: views.tree(s, d).select("path", metadata.char_mask(F.col("name")).alias("chars"), metadata.start_mask(F.col("name")).alias("starts")),
+    f"""{_WITH} SELECT path, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lower(name),''), lambda c: CAST(1 AS BIGINT) << ({_HELD}))), lambda a, b: a | b) AS chars,
+    CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_filter(string_split(regexp_replace(lower(name),'^\\.',''),' '), lambda w: w<>''), lambda w: CAST(1 AS BIGINT) << (ascii(w) % 23))), lambda a, b: a | b) AS INTEGER) AS starts FROM ents""",
+)
+
+
+def _hex_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.substring(F.sha1("path"), F.lit(1), F.lit(16) + F.length("path") % 25)
+    df = views.content(spark, sf_dir).select("path", metadata.packed_hex(name).alias("packed"))
+    return df.select("path", F.octet_length("packed").alias("bytes"), metadata.unpacked_hex(F.col("packed")).alias("name"))
+
+
+_add("x6_hex_names", _hex_names, f"WITH {_DOCS}, h AS (SELECT path, substr(sha1(path), 1, 16 + length(path) % 25) AS name FROM docs) SELECT path, CAST(1 + (length(name) + 1) // 2 AS INTEGER) AS bytes, name FROM h")
+
+# --- published indexes
+
+
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index published twice: readers see the newer version, whole."""
+    folder, df = storage.shared_dir(spark, "index"), views.tree(spark, sf_dir)
+    entries.save(df, folder)
+    entries.save(df.where("NOT hidden"), folder)
+    return entries.load(spark, folder, df.schema).select("path", "size", "prior")
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of one build of the index are none of another's."""
+    folder = storage.shared_dir(spark, "symbols")
+    entries.save(symbols.build(views.code(spark, sf_dir)), folder, "build-1")
+    found = [entries.load(spark, folder, symbols.TABLE, b).select(F.lit(b).alias("build"), "path", "name") for b in ("build-1", "build-2")]
+    return found[0].unionByName(found[1])
+
+
+def _overlay_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that came after the index was built are searched at once."""
+    code = views.code(spark, sf_dir)
+    held = code.where("p_partkey % 2 = 0")
+    merged = symbols.update(symbols.build(held), symbols.fingerprint(held), code)
+    return symbols.matches(merged, _code_entries(spark, sf_dir), parse("sym:brand"), "/code", NOW).select("path", "name")
+
+
+_add("src6_published_index", _published, f"{_WITH} SELECT path, size, CAST(prior AS INTEGER) AS prior FROM ents WHERE NOT hidden")
+_add("y8_other_build", _built, f"WITH {_CODE} SELECT 'build-1' AS build, path, name FROM sy")
+_add("y9_overlay_symbols", _overlay_symbols, f"WITH {_CODE} SELECT path, name FROM sy WHERE contains(lower(name),'brand')")
+
+# --- the query language
+
+_PARSED = ('one  two "a b"', "'exact ^pre suf$ !not", 'x"y z"w !^p', "foo:bar ext:md word", "a/b:c :x")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, k, t.text, t.mode, t.negate) for i, q in enumerate(_PARSED) for k, t in enumerate(parse(q).tokens)]
+    return spark.createDataFrame(rows, "query int, place int, word string, mode string, negated boolean")
+
+
+_add(
+    "q1_words",
+    _words,
+    """SELECT CAST(query AS INTEGER) AS query, CAST(place AS INTEGER) AS place, word, mode, negated FROM (VALUES (0,0,'one','fuzzy',false), (0,1,'two','fuzzy',false), (0,2,'a b','fuzzy',false),
+    (1,0,'exact','exact',false), (1,1,'pre','prefix',false), (1,2,'suf','suffix',false), (1,3,'not','exact',true), (2,0,'xy zw','fuzzy',false), (2,1,'p','prefix',true), (3,0,'foo:bar','fuzzy',false), (3,1,'word','fuzzy',false),
+    (4,0,'a','fuzzy',false), (4,1,'b:c','fuzzy',false), (4,2,':x','fuzzy',false)) t(query, place, word, mode, negated)""",
+)
+_PATTERNS = ("a(", "a+b", "[z-a]", r"\bx\b", "*", "(?P<n>x)", "")
+
+
+def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i, bool(grep.Grep(p, "regex").problem())) for i, p in enumerate(_PATTERNS)], "pattern int, refused boolean")
+
+
+_add("g3_refused_patterns", _problems, "SELECT CAST(pattern AS INTEGER) AS pattern, refused FROM (VALUES (0,true), (1,false), (2,true), (3,false), (4,true), (5,false), (6,true)) t(pattern, refused)")

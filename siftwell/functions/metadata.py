@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bytesql import bytes_view, fold, sub
+from .bytesql import LOWER, bytes_view, fold, sub
 
 # Extensions by category.
 CATEGORIES = {
@@ -88,6 +88,42 @@ def is_hex_name(name: Column) -> Column:
     return name.rlike(HEX_NAME)
 
 
+def packed_hex(name: Column) -> Column:
+    """A hex name in half its bytes, after one for its length."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.length(name)), 2, "0")), F.unhex(F.when(F.length(name) % 2 == 1, F.concat(name, F.lit("0"))).otherwise(name)))
+
+
+def unpacked_hex(packed: Column) -> Column:
+    """The name that packed_hex packed."""
+    digits = F.lower(F.hex(packed))
+    return F.substring(digits, F.lit(3), F.conv(F.substring(digits, 1, 2), 16, 10).cast("int"))
+
+
+# The bits of character classes, in this order; letters and digits have one each.
+CLASSES = (*LOWER, *"0123456789", ".", "-_", " ", "\x80-\xff", "other")
+STARTS = 23
+
+
+def char_mask(name: Column) -> Column:
+    """The classes of characters (CLASSES) in a name, as bits. A name can hold a word only if it has all the word's bits."""
+    text, out = fold(bytes_view(name)), F.lit(0).cast("long")
+    for i, c in enumerate(CLASSES):
+        if i < 36:
+            held = F.contains(text, F.lit(c))
+        else:
+            held = text.rlike("[^a-z0-9._ \x80-\xff-]" if c == "other" else f"[{c}]")
+        out = out.bitwiseOR(F.when(held, F.lit(1 << i)).otherwise(0).cast("long"))
+    return out
+
+
+def start_mask(name: Column) -> Column:
+    """The bytes with which words of a name begin (after a dot at its start, and after spaces), dealt over STARTS bits."""
+    text = fold(bytes_view(name))
+    first = F.when(F.length(text) > 1, F.regexp_replace(text, r"^\.", "")).otherwise(text)
+    begins = F.concat(F.filter(F.array(F.substring(first, 1, 1)), lambda c: c != ""), F.regexp_extract_all(text, F.lit(r"(?s)(?<= )."), F.lit(0)))
+    return F.aggregate(begins, F.lit(0), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.ascii(c) % STARTS)))
+
+
 def doc_rank(path: Column) -> Column:
     """Order tier of searched content: dot folders and logs come late."""
     name = F.substring_index(path, "/", -1)

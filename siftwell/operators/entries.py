@@ -107,6 +107,20 @@ def load(spark: SparkSession, folder: str, schema=None, build: str | None = None
     return (spark.read.schema(schema) if schema else spark.read).parquet(f"{folder.rstrip('/')}/{parts[-1]['name']}")
 
 
+def folder_priors(entries: DataFrame, root: str) -> DataFrame:
+    """(path, prior): the prior that a folder gives to what it holds."""
+    inner = F.concat(F.col("folders"), F.array("name"))
+    return entries.where("is_dir").select("path", metadata.prior(inner, root == "/", None).alias("prior"))
+
+
+def reread(folders: DataFrame, dirty: DataFrame, trees: DataFrame) -> DataFrame:
+    """(path, reread) of folders: whether one must be listed anew, being dirty or in a changed tree; the rest are copied."""
+    chain = F.transform(F.sequence(F.lit(2), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
+    below = folders.select("path", F.explode(chain).alias("tree")).join(trees.select(F.col("path").alias("tree")), "tree", "left_semi")
+    todo = below.select("path").unionByName(dirty.select("path")).distinct().withColumn("reread", F.lit(True))
+    return folders.select("path").join(todo, "path", "left").select("path", F.coalesce("reread", F.lit(False)).alias("reread"))
+
+
 def refresh(old: DataFrame, dirty: DataFrame, trees: DataFrame, listed: DataFrame) -> DataFrame:
     """An index after changes: entries whose folder is dirty, or below a tree, are replaced by what was listed anew.
 

@@ -69,6 +69,23 @@ def known_folders(wanted: DataFrame, folders: DataFrame) -> DataFrame:
     return up.groupBy("asked").agg(F.max_by("path", "depth").alias("path")).select("path").distinct()
 
 
+def listing_diff(held: DataFrame, folders: DataFrame, listed: DataFrame, keys: tuple[str, ...] = ("is_dir", "size", "mtime")) -> DataFrame:
+    """(path, change): what listing the folders (path) anew shows against the entries held in them: new, changed or gone.
+
+    held, listed: rows with path, parent and keys; held entries of other folders count as they are."""
+    inside = held.join(folders.select(F.col("path").alias("parent")), "parent", "left_semi")
+    found = sync_diff(inside, listed, list(keys)).where("action <> 'keep'")
+    return found.select("path", F.expr("CASE action WHEN 'add' THEN 'new' WHEN 'drop' THEN 'gone' ELSE 'changed' END").alias("change"))
+
+
+def nearest(paths: DataFrame, folders: DataFrame, value: str) -> DataFrame:
+    """(path, value) of the nearest folder above each path that is among the folders (path, value); null without one."""
+    up = paths.select("path").withColumn("above", ancestors(F.col("path"))).select("path", F.posexplode("above").alias("_depth", "_folder"))
+    found = up.join(folders.select(F.col("path").alias("_folder"), F.col(value).alias("_value")), "_folder")
+    best = found.groupBy("path").agg(F.max_by("_value", "_depth").alias(value))
+    return paths.select("path").distinct().join(best, "path", "left").select("path", value)
+
+
 def status(entries: DataFrame, symbols: DataFrame, content: DataFrame, extras: int = 0, dead: int = 0) -> DataFrame:
     """One row of counters."""
     a = entries.agg(F.count("*").alias("entries"), F.count_if("is_dir").alias("dirs"))

@@ -313,3 +313,35 @@ def test_service(spark):
 def test_metadata_edges(spark):
     df = spark.createDataFrame([("a.min.js", 5), ("x.png", 5), ("x", 0), (".png", 5), ("a." + "z" * 17, 5), ("b.txt", (1 << 20) + 1), ("b.txt", 1 << 20)], "name string, size long")
     assert [r[0] for r in df.select(metadata.text_file(F.col("name"), F.col("size"))).collect()] == [False, False, False, True, True, False, True]
+
+
+def test_service_and_client(spark, tmp_path):
+    import io
+    import threading
+
+    from siftwell import service
+
+    rows = spark.createDataFrame([("/r/a.txt", False, False, False, 3, 1), ("/r/b.txt", False, False, False, 3, 2)], entries.SCHEMA)
+    content = spark.createDataFrame([("/r/a.txt", 3, 1, "foo"), ("/r/b.txt", 3, 2, "bar")], "path string, size long, mtime long, text string")
+    e = engine.Engine(spark, entries.derive(rows, "/r"), content, spark.createDataFrame([], symbols.TABLE), "/r", now=10)
+    out = io.BytesIO()
+    long = b'{"op": "search", "q": "' + b"x" * (2 << 20) + b'"}\n'
+    assert service.serve(e, io.BytesIO(b'{"id": 1, "q": "^a"}\n\n' + long + b'{"op": "none"}'), out) == 3
+    found = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x["ok"] for x in found] == [True, False, False] and found[0]["id"] == 1 and found[0]["total"] == 1
+    path = str(tmp_path / "s")
+    served = service.Service(e, path).start()
+    try:
+        with service.Client(path) as c:
+            assert c.await_ready(5) and c.status()["entries"] == 2
+            assert [h["path"] for h in c.search("txt", 1)["hits"]] == ["/r/a.txt"] and c.search("txt", 0)["total"] == 2
+            assert [f["path"] for f in c.grep("bar")["files"]] == ["/r/b.txt"]
+            for wrong in (lambda: c.grep("(", "regex"), lambda: c.request("none"), lambda: c.search("x" * (2 << 20))):
+                with pytest.raises(ValueError):
+                    wrong()
+            totals = []
+            threads = [threading.Thread(target=lambda q=q: totals.append((q, c.search(q)["total"]))) for q in ("^a", "^b", "txt")]
+            [t.start() for t in threads], [t.join() for t in threads]
+            assert sorted(totals) == [("^a", 1), ("^b", 1), ("txt", 2)]
+    finally:
+        served.stop()
